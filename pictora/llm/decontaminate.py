@@ -24,52 +24,62 @@ from pictora.llm.common import durable
 MASKS = ("11111", "1101011", "110010011")
 LEAST_SHARE = 0.8
 LEAST_RUN = 13
-#: Seeds of test items that are broadcast at a time: 16 bytes each and a hash table's overhead, under 64 MB.
-BLOCK_SEEDS = 1_000_000
+#: Seeds of test items that are broadcast at a time, of 48 bytes each; their items' words go with them.
+BLOCK_SEEDS = 500_000
 
 
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _key(mask: str, words: str, at: str) -> str:
-    """SQL for the seed of one mask at a position; null where the mask reaches beyond the end."""
-    picked = ", ".join(f"get({words}, {at} + {k})" for k, bit in enumerate(mask) if bit == "1")
-    return f"if({at} + {len(mask)} <= size({words}), xxhash64('{mask}', {picked}), null)"
+def _key(mask: str, at: str = "at") -> str:
+    """SQL for the seed of one mask at a position of ``words``; null where the mask reaches beyond either end."""
+    picked = ", ".join(f"get(words, {at} + {k})" for k, bit in enumerate(mask) if bit == "1")
+    return f"if({at} >= 0 and {at} + {len(mask)} <= size(words), xxhash64('{mask}', {picked}), null)"
 
 
 def _seeds(rows: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
-    """``keep``, the position ``at`` and the seed ``key`` of each position and mask of ``words``."""
-    spread = rows.where("size(words) > 0").select(*keep, "words", F.explode(F.expr("sequence(0, size(words) - 1)")).alias("at"))
-    keys = F.explode(F.expr(f"array({', '.join(_key(m, 'words', 'at') for m in masks)})")).alias("key")
+    """``keep``, ``words``, the position ``at``, the mask's number and the seed ``key`` of each position and mask of ``words``."""
+    spread = rows.select(*keep, "words", F.explode(F.expr("if(size(words) > 0, sequence(0, size(words) - 1), cast(array() as array<int>))")).alias("at"))
+    keys = F.posexplode(F.expr(f"array({', '.join(map(_key, masks))})")).alias("mask", "key")
     return spread.select(*keep, "words", "at", keys).where("key is not null")
 
 
+def _before(masks: list[str]) -> Column:
+    """The seed of the same mask one position before."""
+    return F.expr("case mask " + " ".join(f"when {k} then {_key(m, '(at - 1)')}" for k, m in enumerate(masks)) + " end")
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Verified overlaps ``(doc_id, item_id, n_item, n_agree, longest_run)`` of ``docs(doc_id, text)`` and ``items(item_id, text)``."""
+    """Verified overlaps ``(doc_id, item_id, n_item, n_agree, longest_run)`` of ``docs(doc_id, text)`` and ``items(item_id, text)``.
+
+    Of hits that follow each other on one diagonal only the first goes on, with the stretch of words that the item covers, so
+    the number of rows made does not grow with the length of what is shared, nor their width with the length of a text.
+    """
     wide = min(map(len, MASKS))
     asked = durable(items.select("item_id", tokens(F.col("text")).alias("words")).where("size(words) > 0").withColumn("item", F.monotonically_increasing_id()))
+    # An item too short for any mask has one seed of its own length; others have the seeds of the masks.
     short = sorted(r[0] for r in asked.where(F.size("words") < wide).select(F.size("words").alias("n")).distinct().collect())
-    whole = ["1" * n for n in short]
-    # An item too short for any mask is one seed of its own length; others have the seeds of the masks.
-    long_seeds = _seeds(asked.where(F.size("words") >= wide), ["item"], list(MASKS))
-    short_seeds = [_seeds(asked.where(F.size("words") == len(m)), ["item"], [m]) for m in whole]
-    seeds = long_seeds
-    for more in short_seeds:
-        seeds = seeds.unionByName(more)
-    seeds = durable(seeds.select("item", F.col("at").alias("item_at"), F.col("key").alias("item_key")))
+    masks = [*MASKS, *("1" * n for n in short)]
+    fits = (F.size("words") >= wide) == (F.col("mask") < len(MASKS))
+    whole = F.col("mask") < len(MASKS)
+    for k, n in enumerate(short):
+        whole = whole | ((F.col("mask") == len(MASKS) + k) & (F.size("words") == n))
+    seeds = _seeds(asked, ["item"], masks).where(fits & whole)
+    seeds = durable(seeds.select("item", F.size("words").alias("n_item"), F.col("mask").alias("item_mask"), F.col("at").alias("item_at"), F.col("key").alias("item_key"), _before(masks).alias("item_before")))
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
-    texts = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    train = _seeds(texts, ["doc_id"], [*MASKS, *whole])
+    train = _seeds(docs.select("doc_id", tokens(F.col("text")).alias("words")), ["doc_id"], masks)
+    of_block = F.pmod(F.xxhash64("item"), F.lit(blocks))
     found = None
     for block in range(blocks):
-        part = seeds.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        asked_part = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).select("item", "item_id", F.col("words").alias("item_words"))
-        hits = train.join(F.broadcast(part), F.col("key") == F.col("item_key")).select("doc_id", "words", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-        laid = hits.join(F.broadcast(asked_part), "item")
-        agree = F.expr("transform(item_words, (w, k) -> if(shift + k >= 0, w <=> get(words, cast(shift + k as int)), false))")
+        hits = train.join(F.broadcast(seeds.where(of_block == block)), (F.col("key") == F.col("item_key")) & (F.col("mask") == F.col("item_mask")))
+        hits = hits.where(F.col("item_before").isNull() | ~F.col("item_before").eqNullSafe(_before(masks))).withColumn("shift", F.col("at") - F.col("item_at"))
+        hits = hits.select("doc_id", "item", "n_item", F.least("shift", F.lit(0)).alias("off"), F.expr("slice(words, greatest(shift, 0) + 1, n_item)").alias("stretch"))
+        laid = hits.join(F.broadcast(asked.where(of_block == block).select("item", "item_id", F.col("words").alias("item_words"))), "item")
+        agree = F.expr("transform(item_words, (w, k) -> if(off + k >= 0, w <=> get(stretch, off + k), false))")
+        seen = laid.select("doc_id", "item_id", "n_item", agree.alias("agree"))
         run = F.expr("aggregate(agree, struct(0 as now, 0 as best), (s, x) -> struct(if(x, s.now + 1, 0) as now, greatest(s.best, if(x, s.now + 1, 0)) as best), s -> s.best)")
-        seen = laid.select("doc_id", "item_id", F.size("item_words").alias("n_item"), agree.alias("agree")).select("doc_id", "item_id", "n_item", F.expr("size(filter(agree, x -> x))").alias("n_agree"), run.alias("longest_run"))
+        seen = seen.select("doc_id", "item_id", "n_item", F.expr("size(filter(agree, x -> x))").alias("n_agree"), run.alias("longest_run"))
         seen = seen.where((F.col("n_agree") >= LEAST_SHARE * F.col("n_item")) | (F.col("longest_run") >= LEAST_RUN))
         found = seen if found is None else found.unionByName(seen)
     best = F.max(F.struct("n_agree", "longest_run", "n_item"))
