@@ -1 +1,476 @@
-QUERIES, ORACLES = {}, {}
+"""The engine's registered queries, each with SQL that an independent engine can run on the same tables."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pictora.functions import paths, vectors
+from pictora.operators import bow, evaluate, fusion, index, vocabulary
+from pictora.operators.assign import assign, assign_forest, assign_hierarchical, nearest_word
+from pictora.plans import pipeline
+from pictora.sources import adapters
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+K, TOP_K, BOTTOM_K, DIGITS = 16, 4, 4, 6
+
+#: Named pieces the SQL below is put together from; an engine runs only those that a query uses.
+PIECES = {
+    "features": "SELECT vec_id, 'c' || label AS category, (label * 10 + vec_id % 10)::BIGINT AS image_no, 'images/c' || label || '/' || (label * 10 + vec_id % 10) || '.jpg' AS image_id, embedding::DOUBLE[] AS d FROM embeddings",
+    "vocab": f"SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS word_id, d AS c FROM (FROM features ORDER BY vec_id LIMIT {K})",
+    "sims": "SELECT vec_id, word_id, list_dot_product(d, c) / (sqrt(list_dot_product(d, d)) * sqrt(list_dot_product(c, c))) AS s, list_dot_product(d, d) + list_dot_product(c, c) - 2 * list_dot_product(d, c) AS e FROM features, vocab",
+    "cosine": "SELECT vec_id, word_id FROM sims QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, word_id) = 1",
+    "euclid": "SELECT vec_id, word_id FROM sims QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY e, word_id) = 1",
+    "assigned": "SELECT features.*, word_id FROM features JOIN cosine USING (vec_id)",
+    "axes": "SELECT vec_id, word_id, unnest(range(64))::INT AS axis, unnest(d) AS value FROM assigned",
+    "means": "SELECT word_id, axis, avg(value) AS value, sum(value) AS total, count(*) AS n FROM axes GROUP BY word_id, axis",
+    "old": "SELECT word_id, unnest(range(64))::INT AS axis, unnest(c) AS value FROM vocab",
+    "residuals": "SELECT word_id, n, sq + n * cc - 2 * ct AS rss FROM (SELECT word_id, sum(value * value) AS sq FROM axes GROUP BY 1) JOIN (SELECT word_id, max(n) AS n, sum(value * value) AS cc, sum(value * total) AS ct FROM means GROUP BY 1) USING (word_id)",
+    "shifts": "SELECT word_id, sqrt(sum((means.value - old.value) ** 2)) AS moved FROM means JOIN old USING (word_id, axis) GROUP BY word_id",
+    "remaining": "SELECT * FROM means WHERE word_id % 5 <> 0",
+    "centers2": "SELECT word_id, list(value ORDER BY axis) AS c FROM means GROUP BY word_id",
+    "assigned2": "SELECT vec_id, d, word_id FROM features, centers2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(d, c) / (sqrt(list_dot_product(d, d)) * sqrt(list_dot_product(c, c))) DESC, word_id) = 1",
+    "means2": "SELECT word_id, axis, avg(value) AS value FROM (SELECT word_id, unnest(range(64))::INT AS axis, unnest(d) AS value FROM assigned2) GROUP BY word_id, axis",
+    "tops": f"SELECT vec_id, d, word_id AS top_id FROM features, (FROM vocab WHERE word_id < {TOP_K}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(d, c) / (sqrt(list_dot_product(d, d)) * sqrt(list_dot_product(c, c))) DESC, word_id) = 1",
+    "bottoms": f"SELECT top_id, row_number() OVER (PARTITION BY top_id ORDER BY vec_id) - 1 AS bot_id, d AS c FROM tops QUALIFY row_number() OVER (PARTITION BY top_id ORDER BY vec_id) <= {BOTTOM_K}",
+    "hier": f"SELECT vec_id, tops.top_id, bot_id::INT AS bot_id, (tops.top_id * {BOTTOM_K} + bot_id)::INT AS word_id FROM tops JOIN bottoms USING (top_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(d, c) / (sqrt(list_dot_product(d, d)) * sqrt(list_dot_product(c, c))) DESC, bot_id) = 1",
+    "images": "SELECT DISTINCT image_id, image_no, category FROM features",
+    "captioned": "SELECT images.*, text FROM images JOIN documents ON doc_id = image_no",
+    "vw": "SELECT image_id, category, 'vw' || word_id AS term FROM assigned JOIN (SELECT image_id FROM captioned) USING (image_id)",
+    "tw": r"SELECT image_id, category, term FROM (SELECT image_id, category, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM captioned) WHERE term <> ''",
+    "docs": "SELECT 'vw' AS modality, * FROM vw UNION ALL SELECT 'tw', * FROM tw UNION ALL SELECT 'vw_tw', * FROM vw UNION ALL SELECT 'vw_tw', * FROM tw",
+    "lengths": "SELECT modality, image_id AS doc_id, count(*) AS length FROM docs GROUP BY ALL",
+    "posted": "SELECT modality, term, image_id AS doc_id, count(*) AS tf FROM docs GROUP BY ALL",
+    "dfs": "SELECT modality, term, count(*) AS df FROM posted GROUP BY ALL",
+    "weighted": "SELECT modality, term, doc_id, tf, sqrt(tf) * (1 + ln(n_docs / (df + 1))) ** 2 / sqrt(length) AS weight FROM posted JOIN dfs USING (modality, term) JOIN lengths USING (modality, doc_id) CROSS JOIN (SELECT count(*) AS n_docs FROM captioned)",
+    "asked_images": "SELECT image_id AS query_img, category, (['" + "','".join(adapters.KEYWORDS) + "'])[substr(category, 2)::INT + 1] AS keyword FROM images WHERE image_no % 10 = 0",
+    "query_vw": "SELECT query_img, asked_images.category, 'vw' || word_id AS term FROM asked_images JOIN assigned ON query_img = image_id",
+    "query_tw": "SELECT query_img, category, keyword AS term FROM asked_images",
+    "asked": "SELECT modality, query_img, category, term, count(*) AS qtf FROM (SELECT 'vw' AS modality, * FROM query_vw UNION ALL SELECT 'tw', * FROM query_tw UNION ALL SELECT 'vw_tw', * FROM query_vw UNION ALL SELECT 'vw_tw', * FROM query_tw) GROUP BY ALL",
+    "scored": "SELECT modality, query_img, category, doc_id, sum(qtf * weight) * sum(qtf) / any_value(n) AS score FROM asked JOIN weighted USING (modality, term) JOIN (SELECT modality, query_img, sum(qtf) AS n FROM asked GROUP BY ALL) USING (modality, query_img) GROUP BY modality, query_img, category, doc_id",
+    "ranked": "SELECT *, row_number() OVER (PARTITION BY modality, query_img ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM scored",
+    "flags": "SELECT *, (split_part(doc_id, '/', 2) = category)::INT AS relevant FROM ranked",
+    "precisions": "SELECT *, sum(relevant) OVER (PARTITION BY modality, query_img ORDER BY rank) / (rank + 1) AS precision FROM flags",
+    "sizes": "SELECT category, count(*) AS n FROM captioned GROUP BY category",
+    "aps": "SELECT modality, query_img, category, sum(precision * relevant) / any_value(n) AS ap FROM precisions JOIN sizes USING (category) GROUP BY modality, query_img, category",
+    "lambdas": "SELECT query_img, coalesce(a / nullif(a + b, 0), 0.5) AS share FROM (SELECT query_img, max(ap) FILTER (modality = 'tw') AS a, max(ap) FILTER (modality = 'vw') AS b FROM aps GROUP BY query_img) WHERE a IS NOT NULL AND b IS NOT NULL",
+    "missing": "SELECT query_img, max(n) AS missing FROM (SELECT query_img, modality, count(*) AS n FROM ranked WHERE modality <> 'vw_tw' GROUP BY ALL) GROUP BY query_img",
+    "two_ranks": "SELECT query_img, category, doc_id, min(rank) FILTER (modality = 'tw') AS a, min(rank) FILTER (modality = 'vw') AS b FROM ranked WHERE modality <> 'vw_tw' GROUP BY ALL",
+    "fused": "SELECT query_img, category, doc_id, share * coalesce(a, missing) + (1 - share) * coalesce(b, missing) AS fused FROM two_ranks JOIN missing USING (query_img) JOIN lambdas USING (query_img)",
+    "fused_ranks": "SELECT *, row_number() OVER (PARTITION BY query_img ORDER BY round(fused, 9), doc_id) - 1 AS rank FROM fused",
+    "fused_aps": "SELECT query_img, category, sum(precision * relevant) / any_value(n) AS ap FROM (SELECT *, (split_part(doc_id, '/', 2) = category)::INT AS relevant, sum((split_part(doc_id, '/', 2) = category)::INT) OVER (PARTITION BY query_img ORDER BY rank) / (rank + 1) AS precision FROM fused_ranks) JOIN sizes USING (category) GROUP BY query_img, category",
+    "annotated": "SELECT modality, query_img, rank, ranked.doc_id, quality AS relevant FROM ranked JOIN images ON ranked.doc_id = image_id LEFT JOIN labels ON labels.doc_id = image_no WHERE rank < 5",
+    "accuracies": "SELECT modality, query_img, avg(relevant) AS accuracy, count(*) AS n_annotated FROM annotated WHERE relevant IS NOT NULL GROUP BY ALL",
+}
+
+
+def sql(tail: str) -> str:
+    """A query with the pieces that it needs, in order."""
+    needed: set[str] = set()
+    open_ = [tail]
+    while open_:
+        new = set(re.findall(r"\w+", open_.pop())) & PIECES.keys() - needed
+        needed |= new
+        open_ += [PIECES[k] for k in new]
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in PIECES.items() if k in needed) + f"\n{tail}" if needed else tail
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def rounded(c: Column | str, name: str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, DIGITS).alias(name)
+
+
+def by_axis(centers: DataFrame, *keep: str) -> DataFrame:
+    return centers.select(*keep, F.posexplode("center").alias("axis", "v")).select(*keep, "axis", rounded("v", "value"))
+
+
+def start(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Features and the vocabulary of their first descriptors."""
+    features = adapters.features(spark, sf_dir)
+    return features, vocabulary.first_rows(features, K)
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(*start(spark, sf_dir))
+
+
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(key, caption, line, image_no)``."""
+    number = F.col("image_no")
+    key = F.format_string("c%d/%d", F.floor(number / adapters.IMAGES_PER_CATEGORY), number)
+    return adapters.captions(spark, sf_dir).where(number < 10 * adapters.IMAGES_PER_CATEGORY).select(key.alias("key"), "caption", number.alias("line"), "image_no")
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bow.with_captions(bow.histograms(assigned(spark, sf_dir)), captions(spark, sf_dir))
+
+
+def ranked(spark: SparkSession, sf_dir: str, *modalities: str, top: int | None = None) -> DataFrame:
+    histograms = bow.histograms(assigned(spark, sf_dir))
+    return pipeline.search(adapters.queries(spark, sf_dir), histograms, captions(spark, sf_dir), top, modalities or pipeline.MODALITIES)[0]
+
+
+def precisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.average_precision(ranked(spark, sf_dir), bow.category_counts(joined(spark, sf_dir)))
+
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranked(spark, sf_dir, "vw", "tw")
+    return pipeline.fused(rows, joined(spark, sf_dir))
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = adapters.features(spark, sf_dir).select(F.col("image_id").alias("doc_id"), "image_no").distinct()
+    marks = adapters.annotations(spark, sf_dir)
+    return ranked(spark, sf_dir, top=5).join(images, "doc_id").join(marks, "image_no", "left")
+
+
+# Sources and scalar functions
+
+
+@query("SELECT vec_id, image_id, category, image_no, len(d)::INT AS dim, round(d[1], 6) AS first_value FROM features")
+def features_scan(spark, sf_dir):
+    return adapters.features(spark, sf_dir).select("vec_id", "image_id", "category", "image_no", F.size("descriptor").alias("dim"), rounded(F.col("descriptor")[0], "first_value"))
+
+
+@query("SELECT count(*) AS n FROM features")
+def feature_count(spark, sf_dir):
+    return adapters.features(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(d, d)), 6) AS norm FROM features")
+def descriptor_norms(spark, sf_dir):
+    return adapters.features(spark, sf_dir).select("vec_id", rounded(vectors.norm("descriptor"), "norm"))
+
+
+@query("SELECT vec_id, axis::INT AS axis, round(v / norm, 6) AS value FROM (SELECT vec_id, unnest(range(64)) AS axis, unnest(d) AS v, sqrt(list_dot_product(d, d)) AS norm FROM features)")
+def l2_normalize(spark, sf_dir):
+    rows = adapters.features(spark, sf_dir).select("vec_id", F.posexplode(vectors.unit("descriptor")).alias("axis", "v"))
+    return rows.select("vec_id", "axis", rounded("v", "value"))
+
+
+@query("SELECT image_id, split_part(image_id, '/', 2) AS folder, split_part(image_id, '/', 3) AS file, split_part(split_part(image_id, '/', 3), '.', 1) AS stem, category || '/' || image_no AS caption_key FROM images")
+def path_parts(spark, sf_dir):
+    images = adapters.features(spark, sf_dir).select("image_id", "category").distinct()
+    return images.select("image_id", paths.folder("image_id").alias("folder"), paths.name("image_id").alias("file"), paths.stem("image_id").alias("stem"), paths.caption_key("category", "image_id").alias("caption_key"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS caption FROM documents")
+def caption_parse(spark, sf_dir):
+    first = F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("lang"))
+    lines = adapters.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id"), F.lit(".jpg --- "), first, F.lit(" --- "), "source").alias("line"))
+    return lines.select("doc_id", paths.first_segment("line").alias("caption"))
+
+
+@query("SELECT image_id, category, count(*) FILTER (modality = 'vw') AS n_vw, count(*) FILTER (modality = 'tw') AS n_tw FROM docs GROUP BY ALL")
+def caption_join(spark, sf_dir):
+    return joined(spark, sf_dir).select("image_id", "category", "n_vw", "n_tw")
+
+
+@query("SELECT category, n FROM sizes")
+def category_counts(spark, sf_dir):
+    return bow.category_counts(joined(spark, sf_dir))
+
+
+# Vocabularies
+
+
+@query("SELECT word_id, axis, round(value, 6) AS value FROM old")
+def serial_init(spark, sf_dir):
+    return by_axis(start(spark, sf_dir)[1], "word_id")
+
+
+@query("SELECT (word_id - 1)::INT AS word_id, unnest(range(64))::INT AS axis, round(unnest(d), 6) AS value FROM (SELECT row_number() OVER (ORDER BY md5(vec_id || '/0'), vec_id) AS word_id, d FROM features QUALIFY word_id <= 16)")
+def hash_sample_init(spark, sf_dir):
+    return by_axis(vocabulary.hashed_rows(adapters.features(spark, sf_dir), K), "word_id")
+
+
+@query("SELECT vec_id, word_id FROM cosine")
+def assign_cosine(spark, sf_dir):
+    return assigned(spark, sf_dir).select("vec_id", "word_id")
+
+
+@query("SELECT vec_id, word_id FROM cosine")
+def assign_cosine_builtin(spark, sf_dir):
+    features, words = start(spark, sf_dir)
+    return features.select("vec_id", nearest_word(words).cast("int").alias("word_id"))
+
+
+@query("SELECT vec_id, word_id FROM euclid")
+def assign_euclidean(spark, sf_dir):
+    return assign(*start(spark, sf_dir), "euclidean").select("vec_id", "word_id")
+
+
+@query("SELECT vec_id, word_id FROM euclid")
+def kdforest_assign(spark, sf_dir):
+    """With a budget of all points the search is exact."""
+    return assign_forest(*start(spark, sf_dir), budget=1.0).select("vec_id", "word_id")
+
+
+@query()
+def ann_recall(spark, sf_dir):
+    """Share of descriptors whose word the forest finds, for budgets of all and of half of the points."""
+    features, words = start(spark, sf_dir)
+    rows = assign(features, words, "euclidean", "exact")
+    for name, budget in (("half", 0.5), ("all", 1.0)):
+        rows = assign_forest(rows, words, budget=budget, to=name)
+    return rows.agg(*[rounded(evaluate.share_equal(n, "exact"), f"recall_{n}") for n in ("half", "all")])
+
+
+@query("SELECT axis, round(scatter, 6) AS scatter FROM (SELECT axis, sum(value * value) - count(*) * avg(value) ** 2 AS scatter FROM axes GROUP BY axis ORDER BY scatter DESC, axis LIMIT 5)")
+def dim_variance_top5(spark, sf_dir):
+    return vocabulary.scatter(adapters.features(spark, sf_dir)).select("axis", rounded("scatter", "scatter"))
+
+
+@query("SELECT word_id, n, axis, round(value, 6) AS value FROM means")
+def lloyd_step(spark, sf_dir):
+    return by_axis(vocabulary.step(assigned(spark, sf_dir)), "word_id", "n")
+
+
+@query("SELECT word_id, n, axis, round(value, 6) AS value FROM means")
+def lloyd_step_partial_sums(spark, sf_dir):
+    return by_axis(vocabulary.fast_step(assigned(spark, sf_dir)), "word_id", "n")
+
+
+@query("SELECT word_id, n, round(rss, 6) AS rss FROM residuals")
+def cluster_rss(spark, sf_dir):
+    return vocabulary.step(assigned(spark, sf_dir)).select("word_id", "n", rounded("rss", "rss"))
+
+
+@query("SELECT round(sum(rss), 6) AS rss FROM residuals")
+def total_rss(spark, sf_dir):
+    return vocabulary.fast_step(assigned(spark, sf_dir)).agg(rounded(F.sum("rss"), "rss"))
+
+
+@query("SELECT word_id, round(moved, 6) AS moved FROM shifts")
+def centroid_shift(spark, sf_dir):
+    features, words = start(spark, sf_dir)
+    return vocabulary.movement(words, vocabulary.step(assign(features, words))).select("word_id", rounded("moved", "moved"))
+
+
+@query("SELECT bool_and(moved <= 0.001) AS converged FROM shifts")
+def converged_flag(spark, sf_dir):
+    features, words = start(spark, sf_dir)
+    return vocabulary.converged(vocabulary.movement(words, vocabulary.step(assign(features, words))), 0.001)
+
+
+def _some(spark, sf_dir):
+    """Old centers, and new ones of which every fifth word lost its descriptors."""
+    features, words = start(spark, sf_dir)
+    return words, vocabulary.step(assign(features, words).where("word_id % 5 <> 0"))
+
+
+@query("SELECT word_id FROM vocab WHERE word_id NOT IN (SELECT word_id FROM remaining)")
+def empty_clusters(spark, sf_dir):
+    return vocabulary.empty_words(*_some(spark, sf_dir)).select("word_id")
+
+
+@query("SELECT word_id, axis, round(value, 6) AS value FROM (SELECT word_id, axis, value FROM remaining UNION ALL SELECT word_id, axis, value FROM old WHERE word_id NOT IN (SELECT word_id FROM remaining))")
+def carry_empty(spark, sf_dir):
+    return by_axis(vocabulary.carry_empty(*_some(spark, sf_dir)), "word_id")
+
+
+@query("SELECT word_id, axis, round(value, 6) AS value FROM means2")
+def lloyd_two_steps(spark, sf_dir):
+    features, words = start(spark, sf_dir)
+    once = vocabulary.fast_step(assign(features, words))
+    return by_axis(vocabulary.fast_step(assign(features, once)), "word_id")
+
+
+def _hierarchy(spark, sf_dir):
+    """Features in two levels: the first descriptors as top words, each top word's first descriptors as its bottom words."""
+    features = adapters.features(spark, sf_dir)
+    top = vocabulary.first_rows(features, TOP_K).select(F.col("word_id").alias("top_id"), "center")
+    placed = assign(features, top.select(F.col("top_id").alias("word_id"), "center"), to="top_id")
+    rank = F.row_number().over(Window.partitionBy("top_id").orderBy("vec_id")) - 1
+    bottom = placed.withColumn("bot_id", rank.cast("int")).where(F.col("bot_id") < BOTTOM_K).select("top_id", "bot_id", F.col("descriptor").alias("center"))
+    return assign_hierarchical(features, top, bottom, BOTTOM_K)
+
+
+@query("SELECT vec_id, top_id, bot_id FROM hier")
+def hier_assign(spark, sf_dir):
+    return _hierarchy(spark, sf_dir).select("vec_id", "top_id", "bot_id")
+
+
+@query("SELECT vec_id, word_id FROM hier")
+def hier_global_id(spark, sf_dir):
+    return _hierarchy(spark, sf_dir).select("vec_id", F.col("word_id").cast("int").alias("word_id"))
+
+
+@query("SELECT top_id, count(*) AS n FROM tops GROUP BY top_id")
+def cluster_partition_sizes(spark, sf_dir):
+    return _hierarchy(spark, sf_dir).groupBy("top_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def kmeans_cosine(spark, sf_dir):
+    features = adapters.features(spark, sf_dir)
+    return by_axis(vocabulary.flat(features, vocabulary.Settings(K)).vocabulary, "word_id")
+
+
+@query()
+def kmeans_cosine_ml(spark, sf_dir):
+    return by_axis(vocabulary.flat_ml(adapters.features(spark, sf_dir), vocabulary.Settings(K)), "word_id")
+
+
+@query()
+def hkm_vocabulary(spark, sf_dir):
+    features = adapters.features(spark, sf_dir)
+    return by_axis(vocabulary.hierarchical(features, vocabulary.Settings(TOP_K), vocabulary.Settings(BOTTOM_K))[1], "top_id", "bot_id", "word_id")
+
+
+@query()
+def akm_vocabulary(spark, sf_dir):
+    features = adapters.features(spark, sf_dir)
+    return by_axis(vocabulary.approximate(features, vocabulary.Settings(K, metric="euclidean"), budget=0.5).vocabulary, "word_id")
+
+
+# Bags of words and the index
+
+
+@query("SELECT image_id, count(*) AS total, string_agg(word_id::VARCHAR, ' ' ORDER BY word_id) AS words FROM assigned GROUP BY image_id")
+def bovw_histogram(spark, sf_dir):
+    rows = bow.histograms(assigned(spark, sf_dir))
+    return rows.select("image_id", "total", F.array_join(F.col("words").cast("array<string>"), " ").alias("words"))
+
+
+@query("SELECT image_id, word_id, count(*) AS tf FROM assigned GROUP BY ALL")
+def bovw_terms(spark, sf_dir):
+    return bow.term_counts(assigned(spark, sf_dir))
+
+
+@query("SELECT modality, query_img, category, term, qtf FROM asked")
+def query_terms(spark, sf_dir):
+    return bow.query_terms(adapters.queries(spark, sf_dir), bow.histograms(assigned(spark, sf_dir)))
+
+
+@query("SELECT modality, image_id, category, count(*) AS n_terms FROM docs GROUP BY ALL")
+def modality_documents(spark, sf_dir):
+    return bow.modalities(joined(spark, sf_dir)).select("modality", "image_id", "category", F.size("terms").cast("long").alias("n_terms"))
+
+
+@query("SELECT * FROM posted")
+def postings(spark, sf_dir):
+    return index.postings(bow.modalities(joined(spark, sf_dir)))
+
+
+@query("SELECT * FROM dfs")
+def doc_freq(spark, sf_dir):
+    return index.doc_frequencies(index.postings(bow.modalities(joined(spark, sf_dir))))
+
+
+@query("SELECT * FROM lengths")
+def doc_length(spark, sf_dir):
+    return index.doc_lengths(bow.modalities(joined(spark, sf_dir)))
+
+
+@query("SELECT modality, term, doc_id, tf, round(weight, 6) AS weight FROM weighted")
+def tfidf_weights(spark, sf_dir):
+    return index.weights(bow.modalities(joined(spark, sf_dir))).select("modality", "term", "doc_id", "tf", rounded("weight", "weight"))
+
+
+@query("SELECT query_img, rank, doc_id, round(score, 6) AS score FROM ranked WHERE modality = 'vw' AND rank < 20")
+def tfidf_search_top20(spark, sf_dir):
+    return ranked(spark, sf_dir, "vw", top=index.TOP).select("query_img", F.col("rank").cast("long").alias("rank"), "doc_id", rounded("score", "score"))
+
+
+def _search(modality: str) -> None:
+    @query(f"SELECT query_img, rank, doc_id, round(score, 6) AS score FROM ranked WHERE modality = '{modality}'")
+    def search(spark, sf_dir):
+        return ranked(spark, sf_dir, modality).select("query_img", F.col("rank").cast("long").alias("rank"), "doc_id", rounded("score", "score"))
+
+    QUERIES[f"search_{modality}"], ORACLES[f"search_{modality}"] = QUERIES.pop("search"), ORACLES.pop("search")
+
+
+for _modality in pipeline.MODALITIES:
+    _search(_modality)
+
+
+# Evaluation and fusion
+
+
+@query("SELECT modality, query_img, string_agg(doc_id, ' ' ORDER BY rank) AS doc_ids FROM ranked GROUP BY ALL")
+def rank_lists(spark, sf_dir):
+    rows = ranked(spark, sf_dir).groupBy("modality", "query_img").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("r"))
+    return rows.select("modality", "query_img", F.array_join("r.doc_id", " ").alias("doc_ids"))
+
+
+@query("SELECT modality, query_img, doc_id, relevant FROM flags")
+def relevance_flags(spark, sf_dir):
+    return evaluate.flagged(ranked(spark, sf_dir)).select("modality", "query_img", "doc_id", "relevant")
+
+
+@query("SELECT modality, query_img, rank, round(precision, 6) AS precision FROM precisions")
+def precision_at_i(spark, sf_dir):
+    return evaluate.precision_at(ranked(spark, sf_dir)).select("modality", "query_img", F.col("rank").cast("long").alias("rank"), rounded("precision", "precision"))
+
+
+@query("SELECT modality, query_img, category, round(ap, 6) AS ap FROM aps")
+def average_precision(spark, sf_dir):
+    return precisions(spark, sf_dir).select("modality", "query_img", "category", rounded("ap", "ap"))
+
+
+@query("SELECT modality, round(avg(ap), 6) AS mean_ap, count(*) AS n_queries FROM aps GROUP BY modality")
+def mean_ap(spark, sf_dir):
+    return evaluate.mean_average_precision(precisions(spark, sf_dir)).select("modality", rounded("mean_ap", "mean_ap"), "n_queries")
+
+
+@query("SELECT modality, category, round(avg(ap), 6) AS mean_ap, count(*) AS n_queries FROM aps GROUP BY ALL")
+def ap_by_category(spark, sf_dir):
+    return evaluate.mean_average_precision(precisions(spark, sf_dir), "modality", "category").select("modality", "category", rounded("mean_ap", "mean_ap"), "n_queries")
+
+
+@query("SELECT query_img, round(share, 6) AS \"lambda\" FROM lambdas")
+def fusion_lambda(spark, sf_dir):
+    return fusion.weight(precisions(spark, sf_dir)).select("query_img", rounded("lambda", "lambda"))
+
+
+@query("SELECT query_img, doc_id, round(fused, 6) AS fused, rank FROM fused_ranks")
+def late_fusion(spark, sf_dir):
+    return fused(spark, sf_dir).select("query_img", "doc_id", rounded("fused", "fused"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT query_img, doc_id, rank FROM fused_ranks WHERE rank < 5")
+def late_fusion_top5(spark, sf_dir):
+    return fused(spark, sf_dir).where("rank < 5").select("query_img", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT round(avg(ap), 6) AS mean_ap, count(*) AS n_queries FROM fused_aps")
+def fusion_map(spark, sf_dir):
+    rows = fused(spark, sf_dir).withColumn("modality", F.lit("fused"))
+    ap = evaluate.average_precision(rows, bow.category_counts(joined(spark, sf_dir)))
+    return evaluate.mean_average_precision(ap).select(rounded("mean_ap", "mean_ap"), "n_queries")
+
+
+@query("SELECT modality, query_img, round(accuracy, 6) AS accuracy, n_annotated FROM accuracies")
+def topk_accuracy(spark, sf_dir):
+    return evaluate.accuracy(annotated(spark, sf_dir)).select("modality", "query_img", rounded("accuracy", "accuracy"), "n_annotated")
+
+
+@query("SELECT round(avg(accuracy) FILTER (modality = 'vw'), 6) AS vw, round(avg(accuracy) FILTER (modality = 'tw'), 6) AS tw, round(avg(accuracy) FILTER (modality = 'vw_tw'), 6) AS vw_tw FROM accuracies")
+def accuracy_summary(spark, sf_dir):
+    rows = evaluate.accuracy_summary(evaluate.accuracy(annotated(spark, sf_dir)), pipeline.MODALITIES)
+    return rows.select(*[rounded(m, m) for m in pipeline.MODALITIES])
+
+
+@query("SELECT modality, query_img, rank, doc_id, md5(text) AS text_md5 FROM ranked LEFT JOIN captioned ON doc_id = image_id WHERE rank < 5")
+def top5_with_text(spark, sf_dir):
+    named = captions(spark, sf_dir).select(F.concat(F.lit("images/"), "key", F.lit(".jpg")).alias("image_id"), "caption")
+    rows = pipeline.top_with_text(ranked(spark, sf_dir), named)
+    return rows.select("modality", "query_img", F.col("rank").cast("long").alias("rank"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
