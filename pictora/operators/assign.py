@@ -26,7 +26,7 @@ ROWS = 4096
 def matrix(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Words in order and their centers; a vocabulary is bounded by its number of words, a parameter of its making."""
     rows = vocabulary.select("word_id", "center").orderBy("word_id").collect()
-    return np.array([r.word_id for r in rows], np.int64), np.array([r.center for r in rows], float).reshape(len(rows), -1)
+    return np.array([r.word_id for r in rows], np.int64), np.array([r.center for r in rows], float).reshape(len(rows), -1 if rows else 0)
 
 
 def scores(x: np.ndarray, centers: np.ndarray, metric: str) -> np.ndarray:
