@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pictora.llm.common import durable, small
+
 BITS = 18
 #: Labelled rows of each language that a model is fitted on, at most.
 ROWS_PER_LANGUAGE = 400
@@ -155,15 +157,22 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     First the ids are drawn from the narrow columns, then only their texts are read on; what reaches the driver is at most
     ``rows_per_language`` ids and 2**BITS counts for each language.
     """
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
-    drawn = known.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= rows_per_language).select("doc_id", "lang").distinct().collect()
+    # Hashes are even, so the smallest ones of a language lie below a bound that follows from its number of rows; with room to
+    # spare, only the rows below it are ordered, however many a language has.
+    counts = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    below = known.join(small(durable(counts)), F.col("lang") == F.col("of")).withColumn("place", place)
+    below = below.where(F.col("place") / F.lit(2.0**63) < (2 * rows_per_language + 200) / F.col("n"))
+    by_hash = Window.partitionBy("lang").orderBy("place", "doc_id")
+    drawn = below.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang").distinct().collect()
     languages = sorted({r.lang for r in drawn})
     if not languages:
         return Model([], np.ones((1 << BITS, 0)))
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id, r.lang) for r in drawn], "drawn_id long, drawn_lang string")
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("lang") == F.col("drawn_lang")))
+    sample = sample.groupBy("drawn_id", "lang").agg(F.min("text").alias("text"))  # rows under one id count once
     counted = sample.select("lang", "text").mapInArrow(_counter({x: k for k, x in enumerate(languages)}), "lang int, bucket int, n long")
     sums = np.full((len(languages), 1 << BITS), 0.5)
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
