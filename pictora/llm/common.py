@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same for wide or long results: a Parquet table in the shared folder, which packs columns tighter than a checkpoint."""
+    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected graph ``edges(u, v)`` as ``(node, root)``, root the smallest node.
 
