@@ -54,7 +54,7 @@ def search(terms: DataFrame, weighted: DataFrame, top: int | None = None) -> Dat
 
 
 def write_index(docs: DataFrame, path: str) -> int:
-    """Replace the stored index, bucketed by folder of modality; returns the number of documents indexed."""
+    """Replace the stored index, a folder for each modality; returns the number of documents indexed."""
     weights(docs).write.mode("overwrite").partitionBy("modality").parquet(path)
     return docs.count()
 

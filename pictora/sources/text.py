@@ -66,7 +66,7 @@ def read_index_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_captions(spark: SparkSession, pattern: str) -> DataFrame:
     """``(category, file, caption)`` from lines ``file --- text --- text`` in files that lie one in each category's folder; of a repeated key the last line counts."""
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"))
     named = lines.select(paths.folder("path").alias("category"), F.trim(F.substring_index("value", "---", 1)).alias("file"), paths.first_segment("value").alias("caption"), "line").where("caption is not null")
     key = paths.stem("file")
     return named.groupBy("category", key.alias("stem")).agg(F.max_by("file", "line").alias("file"), F.max_by("caption", "line").alias("caption")).select("category", "file", "caption")
