@@ -42,7 +42,7 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph ``edges(u, v)`` as ``(node, root)``, root the smallest node.
 
     Alternates large-star and small-star contraction until the edges no longer change. A star's hub meets its edges in a
@@ -51,7 +51,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     now, before = durable(now), None
-    for _ in range(rounds):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break

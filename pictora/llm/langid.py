@@ -28,6 +28,7 @@ BITS = 18
 #: Labelled rows of each language that a model is fitted on, at most.
 ROWS_PER_LANGUAGE = 400
 PENALTY = 3.0
+SMOOTHING = 0.5
 ROUNDS = 6
 #: Characters that are scored together; a longer text is scored alone.
 CHARS = 1 << 20
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     First the ids are drawn from the narrow columns, then only their texts are read on; what reaches the driver is at most
     ``rows_per_language`` ids and 2**BITS counts for each language.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
+    known = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang")
     # Hashes are even, so the smallest ones of a language lie below a bound that follows from its number of rows; with room to
     # spare, only the rows below it are ordered, however many a language has.
     counts = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
@@ -174,9 +175,11 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("lang") == F.col("drawn_lang")))
     sample = sample.groupBy("drawn_id", "lang").agg(F.min("text").alias("text"))  # rows under one id count once
     counted = sample.select("lang", "text").mapInArrow(_counter({x: k for k, x in enumerate(languages)}), "lang int, bucket int, n long")
-    sums = np.full((len(languages), 1 << BITS), 0.5)
+    sums = np.zeros((len(languages), 1 << BITS))
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         sums[r.lang, r.bucket] += r.n
+    seen = sums.any(axis=1)  # a language of which only null texts were drawn is not learned
+    languages, sums = [x for x, s in zip(languages, seen) if s], sums[seen] + SMOOTHING
     return Model(languages, np.ascontiguousarray((sums / sums.sum(axis=1, keepdims=True)).T))
 
 
@@ -202,7 +205,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.select(F.col("row").alias("doc_id"), held_out("row").alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """Rows of ``docs``, all columns kept, that have a language with at least the share ``least`` of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

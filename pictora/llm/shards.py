@@ -51,7 +51,7 @@ def _children(rows: list[tuple[str, float, int]]) -> str:
 
 
 def descend(rows: DataFrame, key: str, tree: Topology, to: str = "shard") -> DataFrame:
-    """``rows`` with the shard that each key descends to, as column ``to``."""
+    """``rows`` with the shard that each key descends to, as column ``to``; a column of that name is replaced."""
     number, regions, racks, leaves = 0, [], [], []
     for r, region in enumerate(tree):
         regions.append((f"r{r}", float(sum(map(sum, region))), r))

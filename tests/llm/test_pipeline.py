@@ -18,7 +18,7 @@ def test_run_against_brute_force(spark, sf_dir):
     keep = {}
     for d, r in rows.items():
         (lang,), (score,) = model.predict([r.text or ""])
-        if lang != "und" and score >= 0.5:
+        if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE:
             keep[d] = r
     prints = {d: brute_print(r.text) for d, r in keep.items()}
     classes, least = brute_classes(set(prints.values())), {}
@@ -33,3 +33,14 @@ def test_run_against_brute_force(spark, sf_dir):
     frame = spark.createDataFrame([r for r in frame.collect() if r.doc_id in {x.doc_id for x in mixing.select(frame, share=corpus_pipeline.SHARE, max_epochs=1).where("epochs > 0").collect()}], docs.schema)
     want = sorted(shards.descend(frame, "doc_id", shards.topology(40)).collect())
     assert sorted(corpus_pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_odd_rows_in_every_stage(spark, odd, nothing, sf_dir):
+    """Nulls, empty and long texts, repeated rows and clashing names go through every stage; a row with a null id is a document like any other."""
+    want = {"language_id": {1, 2, None, 5, 7}, "near_dedup": {1, 3, 5, 7, 8, None}, "decontamination": {1, 2, 3, 4, 5, 6, 7, 8, None}, "mixing": None, "sharding": {1, 2, 3, 4, 5, 6, 7, 8, None}}
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, odd, sf_dir)
+        assert [c for c in kept.columns if c in odd.columns] == odd.columns or name == "sharding", name
+        ids = {r.doc_id for r in kept.collect()}
+        assert ids == want[name] if want[name] else ids < {1, 2, 3, 4, 5, 6, 7, 8, None}, (name, ids)
+        assert stage(spark, nothing, sf_dir).count() == 0, name
