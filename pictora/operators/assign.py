@@ -23,8 +23,14 @@ BLOCK_VALUES = 8_000_000
 ROWS = 4096
 
 
-def matrix(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Words in order and their centers; a vocabulary is bounded by its number of words, a parameter of its making."""
+#: Words in order and their centers.
+Matrix = tuple[np.ndarray, np.ndarray]
+
+
+def matrix(vocabulary: DataFrame | Matrix) -> Matrix:
+    """A vocabulary in the driver's memory; it is bounded by its number of words, a parameter of its making."""
+    if isinstance(vocabulary, tuple):
+        return vocabulary
     rows = vocabulary.select("word_id", "center").orderBy("word_id").collect()
     return np.array([r.word_id for r in rows], np.int64), np.array([r.center for r in rows], float).reshape(len(rows), -1 if rows else 0)
 
@@ -51,7 +57,7 @@ def _with_word(batches: Iterator[pa.RecordBatch], at: int, name: str, words_of)
             yield words_of(part, dense(part.column(at)))
 
 
-def assign(features: DataFrame, vocabulary: DataFrame, metric: str = "cosine", to: str = "word_id", column: str = "descriptor") -> DataFrame:
+def assign(features: DataFrame, vocabulary: DataFrame | Matrix, metric: str = "cosine", to: str = "word_id", column: str = "descriptor") -> DataFrame:
     """``features`` with the nearest word, by matrix products on Arrow batches."""
     words, centers = matrix(vocabulary)
     step = max(1, BLOCK_VALUES // max(1, centers.shape[1])) if len(words) else 1
@@ -91,17 +97,21 @@ def nearest_word(vocabulary: DataFrame, metric: str = "cosine", column: str = "d
     return F.coalesce(-best["w"], F.lit(-1))
 
 
-def assign_hierarchical(features: DataFrame, top: DataFrame, bottom: DataFrame, bottom_k: int, metric: str = "cosine", column: str = "descriptor") -> DataFrame:
+def levels(bottom: DataFrame) -> dict[int, Matrix]:
+    """``(top_id, bot_id, center)`` as the bottom words and centers of each top word."""
+    found = bottom.select("top_id", "bot_id", "center").orderBy("top_id", "bot_id").collect()
+    own = {t: [r for r in found if r.top_id == t] for t in {r.top_id for r in found}}
+    return {t: (np.array([r.bot_id for r in rows], np.int32), np.array([r.center for r in rows], float)) for t, rows in own.items()}
+
+
+def assign_hierarchical(features: DataFrame, top: DataFrame | Matrix, bottom: DataFrame | dict[int, Matrix], bottom_k: int, metric: str = "cosine", column: str = "descriptor") -> DataFrame:
     """``features`` with ``top_id``, ``bot_id`` and ``word_id = top_id * bottom_k + bot_id``; -1 where there is no nearest.
 
-    ``bottom`` is ``(top_id, bot_id, center)``.
+    ``top`` is ``(top_id, center)``, ``bottom`` is ``(top_id, bot_id, center)``.
     """
-    rows = assign(features, top.select(F.col("top_id").alias("word_id"), "center"), metric, "top_id", column)
-    found = bottom.orderBy("top_id", "bot_id").collect()
-    by_top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for t in sorted({r.top_id for r in found}):
-        own = [r for r in found if r.top_id == t]
-        by_top[t] = np.array([r.bot_id for r in own], np.int32), np.array([r.center for r in own], float)
+    upper = top if isinstance(top, tuple) else top.select(F.col("top_id").alias("word_id"), "center")
+    rows = assign(features, upper, metric, "top_id", column)
+    by_top = bottom if isinstance(bottom, dict) else levels(bottom)
     shared = features.sparkSession.sparkContext.broadcast(by_top)
     rows = rows.withColumn("bot_id", F.lit(-1).cast("int"))
     at, top_at = rows.columns.index(column), rows.columns.index("top_id")
@@ -124,7 +134,7 @@ def assign_hierarchical(features: DataFrame, top: DataFrame, bottom: DataFrame,
     return rows.mapInArrow(within, rows.schema).withColumn("word_id", word)
 
 
-def assign_forest(features: DataFrame, vocabulary: DataFrame, trees: int = 8, dims: int = 5, budget: float = 0.05, seed: int = 7, to: str = "word_id", column: str = "descriptor") -> DataFrame:
+def assign_forest(features: DataFrame, vocabulary: DataFrame | Matrix, trees: int = 8, dims: int = 5, budget: float = 0.05, seed: int = 7, to: str = "word_id", column: str = "descriptor") -> DataFrame:
     """``features`` with an approximately nearest word (Euclidean), by a best-first search in a forest of k-d trees."""
     words, centers = matrix(vocabulary)
     if not len(words):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pictora.functions import vectors
-from pictora.operators.assign import assign, assign_forest, assign_hierarchical, dense
+from pictora.operators.assign import Matrix, assign, assign_forest, assign_hierarchical, dense, matrix
 
 CENTER = "word_id int, center array<double>"
 
@@ -157,19 +157,17 @@ def at_plateau(residuals: list[float], within: float) -> bool:
     return mean != 0 and abs(residuals[-1] - mean) / mean < within
 
 
-def lloyd(features: DataFrame, start: DataFrame, settings: Settings, assigner: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Training:
+def lloyd(features: DataFrame, start: DataFrame, settings: Settings, assigner: Callable[[DataFrame, Matrix], DataFrame] | None = None) -> Training:
     """Steps until no center moves, the residuals reach a plateau, or the steps run out.
 
     The order of a step: carry over empty words, test movement (which they don't count in), only then record the residual and test the plateau.
     """
-    rows = start.orderBy("word_id").collect()
-    words, centers = np.array([r.word_id for r in rows]), np.array([r.center for r in rows], float)
+    words, centers = matrix(start)
     result = Training(start)
     choose = assigner or (lambda f, v: assign(f, v, settings.metric))
     place = {int(w): i for i, w in enumerate(words)}
     for _ in range(settings.max_iterations if len(words) else 0):
-        now = centers_frame(features, centers, words)
-        new = fast_step(choose(features.select("descriptor"), now)).collect()
+        new = fast_step(choose(features.select("descriptor"), (words, centers))).collect()
         moved, centers = 0.0, centers.copy()
         for r in new:
             i = place[r.word_id]
@@ -216,9 +214,15 @@ def hierarchical(features: DataFrame, top: Settings, bottom: Settings, key: str
     rank = F.row_number().over(Window.partitionBy("top_id").orderBy(key)) - 1
     start = placed.select("top_id", key, "descriptor").withColumn("bot_id", rank.cast("int")).where(F.col("bot_id") < bottom.k)
     start = start.select((F.col("top_id") * bottom.k + F.col("bot_id")).alias("word_id"), F.col("descriptor").alias("center"))
-    split = lambda v: v.select(F.floor(F.col("word_id") / bottom.k).cast("int").alias("top_id"), (F.col("word_id") % bottom.k).cast("int").alias("bot_id"), "center")
-    trained = lloyd(features, start, bottom, lambda f, v: assign_hierarchical(f, upper, split(v), bottom.k, bottom.metric)).vocabulary
-    return upper, split(trained).select("top_id", "bot_id", (F.col("top_id") * bottom.k + F.col("bot_id")).alias("word_id"), "center")
+    known = matrix(upper.select(F.col("top_id").alias("word_id"), "center"))
+
+    def split(vocabulary: Matrix) -> dict[int, Matrix]:
+        words, centers = vocabulary
+        return {int(t): ((words[words // bottom.k == t] % bottom.k).astype(np.int32), centers[words // bottom.k == t]) for t in np.unique(words // bottom.k)}
+
+    trained = lloyd(features, start, bottom, lambda f, v: assign_hierarchical(f, known, split(v), bottom.k, bottom.metric)).vocabulary
+    word = F.col("word_id")
+    return upper, trained.select(F.floor(word / bottom.k).cast("int").alias("top_id"), (word % bottom.k).cast("int").alias("bot_id"), word.cast("int").alias("word_id"), "center")
 
 
 def scatter(features: DataFrame, top: int = 5) -> DataFrame:
