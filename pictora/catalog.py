@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pictora.functions import paths, vectors
-from pictora.operators import bow, evaluate, fusion, index, vocabulary
+from pictora.operators import bow, evaluate, fusion, index, sift, vocabulary
 from pictora.operators.assign import assign, assign_forest, assign_hierarchical, nearest_word
 from pictora.plans import pipeline
 from pictora.sources import adapters
@@ -293,14 +293,18 @@ def lloyd_two_steps(spark, sf_dir):
     return by_axis(vocabulary.fast_step(assign(features, once)), "word_id")
 
 
-def _hierarchy(spark, sf_dir):
-    """Features in two levels: the first descriptors as top words, each top word's first descriptors as its bottom words."""
+def _levels(spark, sf_dir):
+    """The first descriptors as top words, each top word's first descriptors as its bottom words."""
     features = adapters.features(spark, sf_dir)
     top = vocabulary.first_rows(features, TOP_K).select(F.col("word_id").alias("top_id"), "center")
     placed = assign(features, top.select(F.col("top_id").alias("word_id"), "center"), to="top_id")
     rank = F.row_number().over(Window.partitionBy("top_id").orderBy("vec_id")) - 1
     bottom = placed.withColumn("bot_id", rank.cast("int")).where(F.col("bot_id") < BOTTOM_K).select("top_id", "bot_id", F.col("descriptor").alias("center"))
-    return assign_hierarchical(features, top, bottom, BOTTOM_K)
+    return top, bottom
+
+
+def _hierarchy(spark, sf_dir):
+    return assign_hierarchical(adapters.features(spark, sf_dir), *_levels(spark, sf_dir), BOTTOM_K)
 
 
 @query("SELECT vec_id, top_id, bot_id FROM hier")
@@ -324,6 +328,20 @@ def kmeans_cosine(spark, sf_dir):
     return by_axis(vocabulary.flat(features, vocabulary.Settings(K)).vocabulary, "word_id")
 
 
+@query("SELECT top_id, bot_id, word_id, round(c[1], 6) AS first_value FROM (SELECT top_id, bot_id::INT AS bot_id, (top_id * 4 + bot_id)::INT AS word_id, c FROM bottoms)")
+def hier_start(spark, sf_dir):
+    """The centers that the bottom levels start from."""
+    top, bottom = _levels(spark, sf_dir)
+    return bottom.select("top_id", "bot_id", (F.col("top_id") * BOTTOM_K + F.col("bot_id")).cast("int").alias("word_id"), rounded(F.col("center")[0], "first_value"))
+
+
+@query("SELECT image_id, total, CASE WHEN total = 0 THEN '' ELSE words END AS words FROM (SELECT image_id, count(*) AS total, string_agg(word_id::VARCHAR, ' ' ORDER BY word_id) AS words FROM (SELECT image_id, hier.word_id FROM hier JOIN features USING (vec_id)) GROUP BY image_id)")
+def hier_histogram(spark, sf_dir):
+    """Bags of the words of a two-level vocabulary."""
+    rows = bow.histograms(_hierarchy(spark, sf_dir))
+    return rows.select("image_id", "total", F.array_join(F.col("words").cast("array<string>"), " ").alias("words"))
+
+
 @query()
 def kmeans_cosine_ml(spark, sf_dir):
     return by_axis(vocabulary.flat_ml(adapters.features(spark, sf_dir), vocabulary.Settings(K)), "word_id")
@@ -341,6 +359,13 @@ def akm_vocabulary(spark, sf_dir):
     return by_axis(vocabulary.approximate(features, vocabulary.Settings(K, metric="euclidean"), budget=0.5).vocabulary, "word_id")
 
 
+@query()
+def sift_extract(spark, sf_dir):
+    """Descriptors of images drawn from the embeddings."""
+    found = sift.extract_features(adapters.drawn_images(spark, sf_dir))
+    return found.select("image_id", *[rounded(c, c) for c in ("scale", "orientation", "x", "y")], F.size("descriptor").alias("dim"), rounded(vectors.norm("descriptor"), "norm"))
+
+
 # Bags of words and the index
 
 

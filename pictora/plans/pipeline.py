@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pictora.operators import bow, evaluate, fusion, index, vocabulary
 from pictora.operators.assign import assign, assign_hierarchical
-from pictora.sources import images, text
+from pictora.sources import files, images, text
 
 MODALITIES = ("vw", "tw", "vw_tw")
 
@@ -59,6 +59,15 @@ def build(features: DataFrame, config: Config = Config()) -> Built:
     return Built(words, assigned, histograms, {"cluster": clustered - began}, top)
 
 
+def build_all(spark: SparkSession, root: str, config: Config = Config(), features: str = "features") -> dict[str, Built]:
+    """``build`` for each folder of ``root`` that holds a features table."""
+    found = {}
+    for folder in files.folders(spark, root):
+        if any(p.rsplit("/", 1)[-1] == features for p in files.folders(spark, folder)):
+            found[folder.rsplit("/", 1)[-1]] = build(spark.read.parquet(f"{folder}/{features}"), config)
+    return found
+
+
 def build_from_images(spark: SparkSession, root: str, folder: str = "images", config: Config = Config()) -> Built:
     """From a folder of image files: decode, extract descriptors, and ``build``."""
     from pictora.operators import sift

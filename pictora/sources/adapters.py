@@ -37,3 +37,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyword = F.element_at(F.array(*map(F.lit, KEYWORDS)), F.substring("category", 2, 9).cast("int") + 1)
     images = features(spark, sf_dir).where(F.col("image_no") % IMAGES_PER_CATEGORY == 0).select("image_id", "category").distinct()
     return images.select(F.col("image_id").alias("query_img"), "category", keyword.alias("keyword"))
+
+
+def drawn_images(spark: SparkSession, sf_dir: str, cell: int = 8) -> DataFrame:
+    """Decoded images ``(image_key, height, width, n_channels, data)``: each image's first descriptor as squares of gray."""
+    rows = features(spark, sf_dir).groupBy("image_id").agg(F.min_by("descriptor", "vec_id").alias("d"))
+    scaled = F.transform("d", lambda x: F.lpad(F.hex(F.round((x - F.array_min("d")) / (F.array_max("d") - F.array_min("d")) * 255).cast("long")), 2, "0"))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.transform(F.slice("shade", y * 8 + 1, 8), lambda h: F.repeat(h, F.lit(cell))), ""), F.lit(cell)))
+    drawn = rows.select("image_id", scaled.alias("shade")).select("image_id", F.unhex(F.array_join(lines, "")).alias("data"))
+    return drawn.select(F.col("image_id").alias("image_key"), F.lit(8 * cell).alias("height"), F.lit(8 * cell).alias("width"), F.lit(1).alias("n_channels"), "data")

@@ -176,3 +176,13 @@ def test_stream_of_descriptors(spark, sf_dir, tmp_path):
     counts = quantize.word_counts(stream, words).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     counts.awaitTermination(120)
     assert spark.sql("select sum(tf) from counts").first()[0] == len(want)
+
+
+def test_every_data_set_of_a_root(spark, sf_dir, tmp_path):
+    from pictora.sources import adapters
+
+    for name in ("one", "two"):
+        adapters.features(spark, sf_dir).limit(40).write.parquet(f"{tmp_path}/{name}/features")
+    (tmp_path / "none").mkdir()
+    built = pipeline.build_all(spark, str(tmp_path), pipeline.Config(k=3, max_iterations=1))
+    assert set(built) == {"one", "two"} and all(b.histograms.agg(F.sum("total")).first()[0] == 40 for b in built.values())
