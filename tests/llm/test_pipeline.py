@@ -30,7 +30,8 @@ def test_run_against_brute_force(spark, sf_dir):
     text = {i.item_id: i.text for i in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     assert {d for d, r in keep.items() if any(t in r.text for t in text.values())} <= leaked
     frame = frame.where(~frame.doc_id.isin(list(leaked)))
-    frame = spark.createDataFrame([r for r in frame.collect() if r.doc_id in {x.doc_id for x in mixing.select(frame, share=corpus_pipeline.SHARE, max_epochs=1).where("epochs > 0").collect()}], docs.schema)
+    mixed = {x.doc_id for x in mixing.select(frame, share=corpus_pipeline.SHARE, max_epochs=1).where("epochs > 0").collect()}
+    frame = spark.createDataFrame([r for r in frame.collect() if r.doc_id in mixed], docs.schema)
     want = sorted(shards.descend(frame, "doc_id", shards.topology(40)).collect())
     assert sorted(corpus_pipeline.run(spark, sf_dir).collect()) == want
 
