@@ -99,6 +99,47 @@ FROM rendered GROUP BY conv_id
 """
 
 
+def _descent(name: str, n_shards: int) -> str:
+    """CTEs that descend the tree of so many shards, level by level, and end in ``name(key, shard)``."""
+    rows, number = [], 0
+    for r, region in enumerate(shards.topology(n_shards)):
+        for k, rack in enumerate(region):
+            for s, weight in enumerate(rack):
+                rows.append(f"({r}, {k}, {number}, 'r{r}', 'r{r}k{k}', 'r{r}k{k}s{s}', {weight!r}::DOUBLE)")
+                number += 1
+    draw = lambda node: f"-ln((('0x' || substr(md5(key || '/' || {node}), 1, {shards.HEX}))::BIGINT::DOUBLE + 0.5) / {16**shards.HEX}::DOUBLE) / weight"
+    return f"""
+{name}_leaves(region, rack, shard, rnode, knode, snode, weight) AS (VALUES {', '.join(rows)}),
+{name}_regions AS (SELECT region, rnode, sum(weight) AS weight FROM {name}_leaves GROUP BY ALL),
+{name}_racks AS (SELECT region, rack, knode, sum(weight) AS weight FROM {name}_leaves GROUP BY ALL),
+{name}_1 AS (SELECT key, arg_min(region, {draw('rnode')}) AS region FROM keys, {name}_regions GROUP BY key),
+{name}_2 AS (SELECT key, region, arg_min(rack, {draw('knode')}) AS rack FROM {name}_1 JOIN {name}_racks USING (region) GROUP BY key, region),
+{name} AS (SELECT key, arg_min(shard, {draw('snode')}) AS shard FROM {name}_2 JOIN {name}_leaves USING (region, rack) GROUP BY key)"""
+
+
+def _crc_table() -> list[int]:
+    """The table of the checksum's reflected polynomial, one entry for each byte."""
+    table_ = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table_.append(c)
+    return table_
+
+
+#: Slots are numbered within one bucket here, as the operator does up to two million rows.
+_SHARDING = f"""
+WITH sized AS (
+  SELECT doc_id, doc_id::VARCHAR AS key, octet_length(encode(coalesce(text, '')))::BIGINT + {shards.OVERHEAD} AS size, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+), summed AS (
+  SELECT doc_id, key, size, xor(list_reduce(list_transform(range(size - {shards.OVERHEAD}), lambda i: ('0x' || substr(bytes, (2 * i + 1)::INT, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM sized
+), keys AS (SELECT DISTINCT key FROM sized),{_descent('now', 40)},{_descent('grown', 41)}
+SELECT doc_id, size, text_crc32, 'key' AS law, now.shard AS shard,
+  row_number() OVER (PARTITION BY now.shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown.shard AS grown_shard
+FROM summed JOIN now USING (key) JOIN grown USING (key)
+"""
+
 _QUALITY = r"""
 WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -163,9 +204,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM named JOIN first USING (payload_digest)
 """
 
-#: Where SQL has no such hash (SimHash), or the operator learns, fills budgets step by step or aligns texts, there is none: those queries are tested against brute force.
+#: Where SQL has no such hash (SimHash, mixing), or the operator learns, fills budgets step by step or aligns texts, there is none: those queries are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": _CHAT,
+    "op5_sharding": _SHARDING,
     "op7_quality_rules": _QUALITY,
     "op9_decontamination": _DECONTAMINATION,
     "op10_warc": _WARC,
