@@ -72,6 +72,12 @@ def budgets(leaves: Mapping[tuple, float], budget: float, weights: Mapping[tuple
     return given
 
 
+def place(seed: int) -> Column:
+    """Where a document stands in the epoch after its leaf's whole ones: sixty bits of a digest."""
+    named = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)), F.col("whole").cast("string"))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def select(docs: DataFrame, share: float = 0.8, max_epochs: int = 4, weights: Mapping[tuple, float] | None = None, seed: int = 17, domain: Column | None = None) -> DataFrame:
     """``(doc_id, domain, lang, source, n_tokens, epochs)`` for each row: how often the mix takes it, 0 if never.
 
@@ -89,8 +95,7 @@ def select(docs: DataFrame, share: float = 0.8, max_epochs: int = 4, weights: Ma
     plan = spark.createDataFrame(plan, "p_domain string, p_lang string, p_source string, whole long, rest long, buckets long")
     same = [rows[k].eqNullSafe(plan[f"p_{k}"]) for k in LEVELS]
     rows = rows.join(plan, same[0] & same[1] & same[2]).drop("p_domain", "p_lang", "p_source")
-    order = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), "whole"), 1)
-    rows = rows.withColumn("place", order).withColumn("bucket", F.shiftright(F.shiftright("place", 31) * F.col("buckets"), 32))
+    rows = rows.withColumn("place", place(seed)).withColumn("bucket", F.shiftright(F.shiftright("place", 28) * F.col("buckets"), 32))
     up_to = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("tokens")).withColumn("after", F.sum("tokens").over(up_to))
     sums = sums.select(*(F.col(k).alias(f"s_{k}") for k in LEVELS), F.col("bucket").alias("s_bucket"), F.col("after"), (F.col("after") - F.col("tokens")).alias("before"))

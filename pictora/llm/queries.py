@@ -127,13 +127,49 @@ def _crc_table() -> list[int]:
     return table_
 
 
+def _crc(hexed: str, size: str) -> str:
+    """SQL for the checksum of bytes given in hexadecimal."""
+    value = f"list_transform(range({size}), lambda i: ('0x' || substr({hexed}, (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce({value}, lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _filled(name: str, above: str, parent: str, child: str) -> str:
+    """CTEs that fill the children of each parent from what ``above`` gives it, the smallest first: ``name(child..., given)``."""
+    keys = f"{parent}, {child}" if parent else child
+    joined = f"{name}_caps JOIN {above} USING ({parent})" if parent else f"{name}_caps, {above}"
+    by = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+{name}_caps AS (SELECT {keys}, sum(cap) AS cap FROM leaves GROUP BY ALL),
+{name}_rows AS (SELECT {keys}, cap, row_number() OVER ({by} ORDER BY cap, {child}) AS k, count(*) OVER ({by}) AS n,
+  given - coalesce(sum(cap) OVER ({by} ORDER BY cap, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM {joined}),
+{name} AS (SELECT {keys}, least(cap, coalesce(max(rest / (n - k + 1)) FILTER (cap > rest / (n - k + 1)) OVER ({by}), cap)) AS given FROM {name}_rows)"""
+
+
+#: All weights are one, as in the query.
+_MIXING = rf"""
+WITH named AS (
+  SELECT doc_id, lang, source, 'd' || ({_crc("hex(encode(coalesce(source, '')))", "octet_length(encode(coalesce(source, '')))")} % 4) AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n_tokens FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS tokens, 4 * sum(n_tokens)::DOUBLE AS cap FROM named GROUP BY ALL
+), top AS (SELECT 0.8::DOUBLE * sum(tokens) AS given FROM leaves),{_filled("domains", "top", "", "domain")},{_filled("langs", "domains", "domain", "lang")},{_filled("sources", "langs", "domain, lang", "source")},
+plan AS (
+  SELECT domain, lang, source, floor(floor(given + 1e-6) / tokens)::BIGINT AS whole, (floor(given + 1e-6) - tokens * floor(floor(given + 1e-6) / tokens))::BIGINT AS rest
+  FROM sources JOIN leaves USING (domain, lang, source)
+), placed AS (
+  SELECT *, ('0x' || substr(md5(doc_id || '/17/' || whole), 1, 15))::BIGINT AS place FROM named JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens,
+  whole + (sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) <= rest)::BIGINT AS epochs
+FROM placed
+"""
+
 #: Slots are numbered within one bucket here, as the operator does up to two million rows.
 _SHARDING = f"""
 WITH sized AS (
   SELECT doc_id, doc_id::VARCHAR AS key, octet_length(encode(coalesce(text, '')))::BIGINT + {shards.OVERHEAD} AS size, hex(encode(coalesce(text, ''))) AS bytes FROM documents
 ), summed AS (
-  SELECT doc_id, key, size, xor(list_reduce(list_transform(range(size - {shards.OVERHEAD}), lambda i: ('0x' || substr(bytes, (2 * i + 1)::INT, 2))::BIGINT),
-    lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM sized
+  SELECT doc_id, key, size, {_crc("bytes", f"size - {shards.OVERHEAD}")} AS text_crc32 FROM sized
 ), keys AS (SELECT DISTINCT key FROM sized),{_descent('now', 40)},{_descent('grown', 41)}
 SELECT doc_id, size, text_crc32, 'key' AS law, now.shard AS shard,
   row_number() OVER (PARTITION BY now.shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown.shard AS grown_shard
@@ -204,11 +240,12 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM named JOIN first USING (payload_digest)
 """
 
-#: Where SQL has no such hash (SimHash, mixing), or the operator learns, fills budgets step by step or aligns texts, there is none: those queries are tested against brute force.
+#: Where SQL has no such hash (SimHash), or the operator learns or aligns texts, there is none: those queries are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": _CHAT,
     "op5_sharding": _SHARDING,
     "op7_quality_rules": _QUALITY,
+    "op8_mixing": _MIXING,
     "op9_decontamination": _DECONTAMINATION,
     "op10_warc": _WARC,
 }
