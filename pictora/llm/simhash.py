@@ -55,6 +55,7 @@ NEAR = 18
 NEAR_ALL = 56
 RUN = 4096
 PARTNERS = 4
+NEAR_CHUNK = 1 << 15
 #: Candidates are checked in steps of their differing bits.
 STEPS = (16, 32, 44)
 
@@ -264,23 +265,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "node", "p0", "p1", "p2", "p3"])
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = [_signed(xxhash.xxh64_intdigest(b" ".join(w))) if (w := (t.as_py() or b"").lower().split()) else 0 for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *batch.columns], ["node", "doc_id", "text"])
-
-
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for node, text in zip(*batch.columns):
-            shingles = pa.array([shingle_hashes(text.as_py())[1].view(np.int64)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), shingles], ["node", "shingles"])
+        for text in batch.column(0):
+            name, shingles = shingle_hashes(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(name)], pa.int64()), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each row of sorted ``(key, fp, node)`` its nearest other rows of the same key and run, one of each ``PARTNERS``-th place, as ``(u, v)``."""
     held: list[tuple[np.ndarray, ...]] = []
-    size, limit = 0, CHUNK
+    size, limit = 0, NEAR_CHUNK
 
     def flush(final: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, size
@@ -309,7 +304,7 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.num_rows
         if size >= limit:
             yield from flush(False)
-            limit = max(CHUNK, 2 * size)
+            limit = max(NEAR_CHUNK, 2 * size)
     if size:
         yield from flush(True)
 
@@ -345,9 +340,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     named = nodes.select("node", "first_id")
     if (most := found.agg(F.max("apart")).first()[0]) is not None:
         used = durable(found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(named, "node").select(F.col("node").alias("used"), F.col("first_id").alias("used_id")))
-        texts = source.mapInArrow(_named, "node long, doc_id long, text binary")
-        texts = texts.join(small(used), (F.col("node") == F.col("used")) & F.col("doc_id").eqNullSafe(F.col("used_id"))).select("node", "text")
-        sets = written(texts.mapInArrow(_shingled, "node long, shingles array<long>").dropDuplicates(["node"]))
+        # Rows that share an id with a wanted one come along; the names their texts give tell them apart.
+        ids = small(durable(used.select("used_id").distinct()))
+        texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("used_id")), "left_semi").select("text")
+        sets = texts.mapInArrow(_shingled, "node long, shingles array<long>")
+        sets = written(sets.join(small(used.select("used")), F.col("node") == F.col("used"), "left_semi").dropDuplicates(["node"]))
         root = components(_checked(found, sets, similarity, most))
         named = named.join(root.select(F.col("node").alias("linked"), "root"), F.col("node") == F.col("linked"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
         classes = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
