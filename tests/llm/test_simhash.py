@@ -163,3 +163,23 @@ def test_a_bucket_of_many_texts_is_searched_in_runs(spark):
     rows = [(k, " ".join([*base, f"x{k}", f"y{k % 50}"])) for k in range(6000)]
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert got.count() == 6000 and {r.component_id for r in got.select("component_id").distinct().collect()} == {0}
+
+
+def substituted(rng, words, n):
+    """The words with n of their every fifth ones replaced, so that each costs five shingles."""
+    other = list(words)
+    for at in rng.sample(range(4, len(words) - 4, 5), n):
+        other[at] = f"x{rng.getrandbits(60)}"
+    return other
+
+
+def test_near_copies_in_a_large_family_of_alike_texts(spark):
+    """A template's texts, 0.7 to 0.8 alike, do not hide the pairs among them that are 0.86 alike."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(354)]
+    texts = {2 * k: substituted(rng, base, 6) for k in range(2000)}
+    pairs = {2 * k + 1: substituted(rng, texts[2 * k], 5) for k in range(100)}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in {**texts, **pairs}.items()], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert sum(got[d] == got[d - 1] for d in pairs) == len(pairs)
+    assert len(set(got.values())) > 1500
