@@ -183,3 +183,17 @@ def test_near_copies_in_a_large_family_of_alike_texts(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
     assert sum(got[d] == got[d - 1] for d in pairs) == len(pairs)
     assert len(set(got.values())) > 1500
+
+
+def test_near_copies_at_the_least_similarity_are_all_found(spark):
+    """Pairs at 0.80 to 0.83, long and short: none is lost."""
+    rng = random.Random(7)
+    texts = {}
+    for k in range(200):
+        n = (104, 154, 304, 1004)[k % 4]
+        texts[2 * k] = [f"w{rng.getrandbits(60)}" for _ in range(n)]
+        texts[2 * k + 1] = substituted(rng, texts[2 * k], (n - 4) // 9 // 5)
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert got == brute_near(texts) and all(got[2 * k + 1] == 2 * k for k in range(200))
