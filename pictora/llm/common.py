@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) is a folder made here.
+    Only where that is unset and Spark runs in one process (local tests) is a folder made here.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pictora-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return (folder or known.get()).rstrip("/")
@@ -42,6 +44,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables of one computation, in a folder of their own in the shared folder, each removed once nothing reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{scratch(spark)}/tables-{uuid.uuid4().hex}"
+
+    def name(self) -> str:
+        return uuid.uuid4().hex
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Remove the named tables, or all; what was computed from them has to be written or checkpointed before."""
+        for path in [f"{self.folder}/{n}" for n in names] or [self.folder]:
+            remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whichever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph ``edges(u, v)`` as ``(node, root)``, root the smallest node.
 

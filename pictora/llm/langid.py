@@ -31,7 +31,7 @@ PENALTY = 3.0
 SMOOTHING = 0.5
 ROUNDS = 6
 #: Characters that are scored together; a longer text is scored alone.
-CHARS = 1 << 20
+CHARS = 1 << 17
 UNKNOWN = "und"
 
 

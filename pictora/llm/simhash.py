@@ -16,21 +16,10 @@ what it linked, never pairs, and a distributed contraction joins the forests.
 Defined cases: null text or a text without words has fingerprint zero and is linked like any other; fewer than three words
 are one shingle; repeated rows and ids are separate rows of one class; a class of null ids only has a null component; an
 empty table gives an empty result; other columns are ignored.
-
-``near_duplicates`` links by fingerprint alone. ``near_copies`` links all texts whose five-word shingles have a similarity
-(Jaccard) of 0.8 or more, by a set join that leaves no pair out. Of a text's n shingles, in one order for all texts, the first
-n - ceil(0.8 n) + 1 are its prefix: two texts that similar share a shingle of their prefixes. The order puts shingles first that a sample
-does not have often; any order is exact, this one keeps common phrases out of the prefixes. First each text is checked against the
-smallest and the largest text of each of its prefix shingles, which joins large classes at a row for each shingle. Then all pairs of
-texts of different classes that share a prefix shingle are looked at, a shingle of many texts in blocks of ``SQUARE`` against blocks, and
-checked on the whole sets, but for those that sizes or sketches rule out: in a sketch each shingle flips one bit, so no
-more bits differ than shingles. Pairs of a large group of texts that are alike but not alike enough are many, as none of them may be left out. Texts that
-are equal but for case and white space are one node, named by a 64-bit hash; texts without words are copies of one another.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,21 +29,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pictora.llm.common import components, durable, only, small, written
+from pictora.llm.common import components, durable, only
 
 FANOUT = 8
 BLOCK = 1 << 15
 #: Fingerprints gathered before a search, so that small buckets are searched together.
 CHUNK = 1 << 17
 
-#: Near copies: words of a shingle, 64-bit words of a short sketch, texts of a block, pairs looked at together.
-WORDS = 5
-SKETCH = 8
-SQUARE = 1024
-PAIRS = 1 << 19
-#: Texts of the sample that orders shingles, and the most shingles it tells apart.
-SAMPLE = 20_000
-COMMON = 100_000
+
+def majority(values: np.ndarray) -> int:
+    """The bits that over half of the 64-bit values have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(values), 1 << 14):
+        part = values[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -68,11 +57,7 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     values = np.array([hashes(joined[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(values), 1 << 14):
-        part = values[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0])
+    return majority(values)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,223 +198,13 @@ def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     return rows.join(named, rows.fp == named.named_fp).select("doc_id", "fp", "component_id")
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads each bit over all."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
-
-
-def shingle_hashes(text: bytes | None, words: int = WORDS) -> tuple[int, np.ndarray]:
-    """Hash of the text's words in lower case, and the distinct hashes of its shingles (fewer words: the whole sequence), sorted."""
-    found = text.lower().split() if text else []
-    if not found:
-        return 0, np.empty(0, np.uint64)
-    joined = b" ".join(found)
-    name = xxhash.xxh64_intdigest(joined)
-    if len(found) <= words:
-        return name, np.array([name], np.uint64)
-    each = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    n = len(each) - words + 1
-    value = np.zeros(n, np.uint64)
-    for k in range(words):
-        value = _mixed(value + each[k : k + n])
-    return name, np.unique(value)
-
-
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the shingles that fall on each bit: two sets differ in at least as many members as their sketches in bits.
-
-    The bits are a power of two, at least two for each shingle; ``folded`` gives the sketch of fewer bits.
-    """
-    bits = max(64 * SKETCH, 1 << (2 * len(shingles) - 1).bit_length())
-    at = (_mixed(shingles) % np.uint64(bits)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits) & 1).view(np.int64)
-
-
-def folded(wide: np.ndarray, words: int = SKETCH) -> np.ndarray:
-    return np.bitwise_xor.reduce(wide.reshape(-1, words), axis=0)
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in order of (weight, hash), as many as a similar set cannot lack; ``common`` is sorted, others weigh nothing."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    weights = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        weights = np.where(common[at] == shingles, weight[at], 0)
-    return shingles[np.lexsort((shingles, weights))[: n - math.ceil(similarity * n - 1e-9) + 1]]
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
-def _signer(common: np.ndarray, weight: np.ndarray, similarity: float):
-    names = ["doc_id", "node", "n", *[f"s{k}" for k in range(SKETCH)], "wide", "prefix"]
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, numbers, wides, prefixes = whole.slice(at, 256), [], [], []
-                for text in batch.column(1):
-                    name, shingles = shingle_hashes(text.as_py())
-                    wide = sketch(shingles)
-                    numbers.append([_signed(name), len(shingles), *folded(wide).tolist()])
-                    wides.append(wide.tobytes())
-                    prefixes.append(prefix(shingles, common, weight, similarity).view(np.int64))
-                columns = np.array(numbers, np.int64).T
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(wides, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names)
-
-    return sign
-
-
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text in batch.column(0):
-            name, shingles = shingle_hashes(text.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([_signed(name)], pa.int64()), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
-
-
-def _common(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the texts has more than once, sorted, and in how many texts of it."""
-    every = max(1, source.count() // SAMPLE)
-    texts = source.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    counts = texts.mapInArrow(_shingled, "node long, shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1")
-    rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    shingles, weight = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-    order = np.argsort(shingles.view(np.uint64))
-    return shingles.view(np.uint64)[order], weight[order]
-
-
-def _similar(similarity: float):
-    """Of rows ``(shingle, lo, hi, block, node, root, n, s0..)`` sorted by the first three, pairs of different roots that sizes and sketches allow."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size, limit = 0, CHUNK
-
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            columns = [np.concatenate(x) for x in zip(*held)]
-            shingle, lo, hi, block, node, root, n = columns[:7]
-            start = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            end = len(shingle) if final else int(start[-1])
-            held, size = ([] if final else [[c[end:] for c in columns]]), len(shingle) - end
-            stop = np.repeat(np.r_[start[1:], len(shingle)], np.diff(np.r_[start, len(shingle)]))[:end]
-            many = stop - np.arange(end) - 1
-            ends, at = np.cumsum(many), 0
-            while at < end:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-                count = many[at:to]
-                i = np.repeat(np.arange(at, to), count)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-                at = to
-                fits = (root[i] != root[j]) & ((block[i] != block[j]) | (lo[i] == hi[i])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-                i, j = i[fits], j[fits]
-                apart = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in (x.view(np.uint64) for x in columns[7:]))
-                fits = apart <= (n[i] + n[j]) * (1 - similarity) / (1 + similarity) + 1e-9
-                found = np.unique(np.stack([np.maximum(node[i], node[j])[fits], np.minimum(node[i], node[j])[fits]]), axis=1)
-                if found.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
-
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            size += batch.num_rows
-            if size >= limit:
-                yield from flush(False)
-                limit = max(CHUNK, 2 * size)
-        if size:
-            yield from flush(True)
-
-    return pairs
-
-
-def _starred(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of each text and the smallest and largest of each of its prefix shingles."""
-    met = tokens.join(counts, tokens.shingle == counts.of).select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
-    return met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-
-
-def _sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(u, v)`` that sizes and the wide sketches allow."""
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            most, keep = n * (1 - similarity) / (1 + similarity) + 1e-9, np.zeros(len(n), bool)
-            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-                x, y = (np.frombuffer(w.as_py(), np.uint64) for w in (x, y))
-                words = min(len(x), len(y))
-                keep[k] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64) <= most[k]
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
-    size = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
-    alike = pairs.join(size("u"), "u").join(size("v"), "v").where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9).select("u", "v")
-    both = alike.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "wu", "wv")
-    return durable(both.mapInArrow(fit, "u long, v long"))
-
-
-def _across(tokens: DataFrame, counts: DataFrame, nodes: DataFrame, root: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``(u, v)`` of different classes with a prefix shingle in common that sizes and sketches allow."""
-    root = root.select(F.col("node").alias("linked"), "root")
-    rooted = written(nodes.join(root, nodes.node == root.linked, "left").select("node", "n", *[f"s{k}" for k in range(SKETCH)], F.coalesce("root", "node").alias("root")))
-    met = written(tokens.join(counts, tokens.shingle == counts.of).select("shingle", "node", "many"))
-    classes = met.join(rooted.select(F.col("node").alias("x"), "root"), F.col("node") == F.col("x"))
-    mixed = written(classes.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(F.col("shingle").alias("of")))
-    met = met.join(mixed, met.shingle == mixed.of).drop("of")
-    blocks = F.ceil(F.col("many") / SQUARE).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("shingle", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node")
-    met = met.join(rooted, "node").select("shingle", "lo", "hi", "block", "node", "root", "n", *[f"s{k}" for k in range(SKETCH)])
-    met = met.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
-    return met.mapInArrow(_similar(similarity), "u long, v long").distinct()
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` for each row of ``docs(doc_id, text)``: classes of texts joined by checked links of that similarity or more."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    parts = [f"s{k}" for k in range(SKETCH)]
-    rows = written(source.mapInArrow(_signer(*_common(source), similarity), f"doc_id long, node long, n long, {', '.join(f'{x} long' for x in parts)}, wide binary, prefix array<long>"))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(x).alias(x) for x in ("n", *parts, "wide", "prefix")]))
-    tokens = nodes.select(F.explode("prefix").alias("shingle"), "node")
-    counts = tokens.groupBy("shingle").agg(F.count("*").alias("many"), F.min("node").alias("low"), F.max("node").alias("high")).where("many > 1")
-    counts = written(counts.withColumnRenamed("shingle", "of"))
-    named = nodes.select("node", "first_id")
-    links = _checked(_sketched(_starred(tokens, counts), nodes, similarity), source, named, similarity)
-    rest = _checked(_sketched(_across(tokens, counts, nodes, components(links), similarity), nodes, similarity), source, named, similarity)
-    root = components(links.unionByName(rest)).select(F.col("node").alias("linked"), "root")
-    named = named.join(root, F.col("node") == F.col("linked"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    classes = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(classes, "root").select(F.col("node").alias("named"), "component_id")
-    return rows.join(named, rows.node == named.named).select("doc_id", "component_id")
-
-
-def _checked(found: DataFrame, source: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of ``found(u, v)`` whose shingle sets are similar enough."""
-    used = durable(found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(named, "node").select(F.col("node").alias("used"), F.col("first_id").alias("used_id")))
-    # Rows that share an id with a wanted one come along; the names their texts give tell them apart.
-    ids = small(durable(used.select("used_id").distinct()))
-    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("used_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_shingled, "node long, shingles array<long>")
-    sets = written(sets.join(small(used.select("used")), F.col("node") == F.col("used"), "left_semi").dropDuplicates(["node"]))
-    for x in ("u", "v"):
-        found = found.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")), x)
-    shared = F.size(F.array_intersect("set_u", "set_v"))
-    return durable(found.where(shared >= similarity * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v"))
-
-
-def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """One row of ``docs`` for each class of ``found(doc_id, component_id)``, by default near duplicates; all columns kept: that of its smallest doc_id.
+def representatives(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates, all columns kept: that of its smallest doc_id.
 
     Rows under one doc_id are one document, of which the row with the smallest text stays; the sort for that is only
     planned where an id does occur twice.
     """
-    found = durable(near_duplicates(docs) if found is None else found)
+    found = durable(near_duplicates(docs, distance))
     kept = only(docs, found.where("not doc_id <=> component_id"), "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from pictora.llm import decontaminate, langid, mixing, shards, simhash
+from pictora.llm import decontaminate, langid, mixing, shards
 
 
 def test_stages_in_order_and_columns(spark, sf_dir):
@@ -10,7 +10,7 @@ def test_stages_in_order_and_columns(spark, sf_dir):
 
 
 def test_run_against_brute_force(spark, sf_dir):
-    from test_simhash import brute_near
+    from test_near_copies import brute_near
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}

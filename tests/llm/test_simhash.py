@@ -30,27 +30,6 @@ def brute_classes(prints, distance=2):
     return {p: find(p) for p in parent}
 
 
-def brute_near(texts, similarity=0.8):
-    """Smallest id of each text's class: texts joined by links of that similarity on five-word shingles."""
-    def shingles(text):
-        words = (text or "").encode().lower().split()
-        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
-
-    sets, parent = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            small, large = sorted((len(sets[a]), len(sets[b])))
-            if a < b and small >= similarity * large and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    return {d: find(d) for d in texts}
-
-
 def test_fingerprint_is_the_majority_of_the_shingles_hashes():
     rng = random.Random(1)
     for n in (0, 1, 2, 3, 4, 50):
@@ -120,80 +99,3 @@ def test_a_large_group_of_copies_keeps_all_rows(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one and the same text").otherwise(F.concat(F.lit("w"), F.hex(F.xxhash64("id")), F.lit(" a "), F.hex(F.xxhash64("id")))).alias("text"))
     got = simhash.near_duplicates(docs)
     assert got.count() == 3000 and got.where("doc_id % 3 = 0").select("component_id").distinct().collect() == [(0,)]
-
-
-def test_near_copies_against_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    want = brute_near({r.doc_id: r.text for r in docs.collect()})
-    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
-    assert {r.doc_id for r in simhash.representatives(docs, simhash.near_copies(docs)).collect()} == set(want.values())
-
-
-def test_near_copies_of_edited_texts(spark):
-    """Texts with a few words changed join their original; those with many changed, and others, stay apart."""
-    rng = random.Random(5)
-    texts, light, heavy = {}, {}, {}
-    for k in range(60):
-        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
-        texts[10 * k] = " ".join(words)
-        for n, group, number in ((1, light, 1), (3, light, 2), (12, heavy, 3)):
-            other = list(words)
-            for at in rng.sample(range(150), n):
-                other[at] = "changed" + str(rng.randrange(10**6))
-            texts[10 * k + number] = " ".join(other)
-            group[10 * k + number] = 10 * k
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got, want = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}, brute_near(texts)
-    assert all(got[d] >= want[d] for d in got) and all(want[d] == d for d in heavy)
-    assert all(got[d] == of for d, of in light.items() if d % 10 == 1)  # a similarity of 0.94 or more
-    assert sum(got[d] == of for d, of in light.items() if d % 10 == 2) >= 0.85 * 60  # of 0.81 or more
-    assert all(got[d] == d for d in heavy)
-
-
-def test_near_copies_of_odd_rows(spark, odd, nothing):
-    rows = simhash.near_copies(odd).collect()
-    assert len(rows) == odd.count()
-    assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 1), (3, 3), (4, 3), (6, 3), (None, 1), (5, 5), (7, 7), (8, 8)}
-    assert simhash.near_copies(nothing).count() == 0
-
-
-def test_a_bucket_of_many_texts_is_searched_in_runs(spark):
-    """More near copies than a run holds are one class, without pairs of all of them."""
-    base = [f"w{k}" for k in range(200)]
-    rows = [(k, " ".join([*base, f"x{k}", f"y{k % 50}"])) for k in range(6000)]
-    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-    assert got.count() == 6000 and {r.component_id for r in got.select("component_id").distinct().collect()} == {0}
-
-
-def substituted(rng, words, n):
-    """The words with n of their every fifth ones replaced, so that each costs five shingles."""
-    other = list(words)
-    for at in rng.sample(range(4, len(words) - 4, 5), n):
-        other[at] = f"x{rng.getrandbits(60)}"
-    return other
-
-
-def test_near_copies_in_a_large_family_of_alike_texts(spark):
-    """A template's texts, 0.7 to 0.8 alike, do not hide the pairs among them that are 0.86 alike."""
-    rng = random.Random(6)
-    base = [f"w{k}" for k in range(354)]
-    texts = {2 * k: substituted(rng, base, 6) for k in range(2000)}
-    pairs = {2 * k + 1: substituted(rng, texts[2 * k], 5) for k in range(100)}
-    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in {**texts, **pairs}.items()], "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
-    assert sum(got[d] == got[d - 1] for d in pairs) == len(pairs)
-    assert len(set(got.values())) > 1500
-
-
-def test_near_copies_at_the_least_similarity_are_all_found(spark):
-    """Pairs at 0.80 to 0.83, long and short: none is lost."""
-    rng = random.Random(7)
-    texts = {}
-    for k in range(200):
-        n = (104, 154, 304, 1004)[k % 4]
-        texts[2 * k] = [f"w{rng.getrandbits(60)}" for _ in range(n)]
-        texts[2 * k + 1] = substituted(rng, texts[2 * k], (n - 4) // 9 // 5)
-    texts = {d: " ".join(w) for d, w in texts.items()}
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
-    assert got == brute_near(texts) and all(got[2 * k + 1] == 2 * k for k in range(200))
