@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,21 +67,46 @@ class Tables:
             remove(self.spark, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that the executors remove the shuffle files of what is computed and forgotten."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in whichever file system it is."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Edges of 16 bytes that one task joins.
+LOCAL_EDGES = 200_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of all the edges, with the smallest node it is connected with."""
+    u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*[[c.to_numpy() for c in b.columns] for b in batches])) if (batches := list(batches)) else (np.empty(0, np.int64),) * 2
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+    i, j, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (apart := root[i] != root[j]).any():
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph ``edges(u, v)`` as ``(node, root)``, root the smallest node.
 
-    Alternates large-star and small-star contraction until the edges no longer change. A star's hub meets its edges in a
-    sort-merge join, which adaptive execution can split, and minima are aggregated map-side first; nothing but a count and
-    a checksum reaches the driver. Null nodes and self-loops are ignored; an empty input gives an empty result.
+    Up to ``LOCAL_EDGES`` counted edges, a bounded number, are joined in one task. For more, large-star and small-star contraction
+    alternate until the edges no longer change. A star's hub meets its edges in a sort-merge join, which adaptive execution can split, and
+    minima are aggregated map-side first. Nothing but counts and a checksum reaches the driver. Null nodes and self-loops are ignored; an empty input gives an empty result.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     now, before = durable(now), None
+    if now.count() <= LOCAL_EDGES:
+        return durable(now.coalesce(1).mapInArrow(_joined, "node long, root long"))
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:

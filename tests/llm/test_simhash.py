@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pictora.llm import simhash
+from pictora.llm import common, simhash
 
 
 def brute_print(text):
@@ -52,7 +53,8 @@ def test_index_finds_all_pairs():
     assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(apart <= 2)) if i < j}
 
 
-def test_links_and_classes_against_all_pairs(spark):
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_links_and_classes_against_all_pairs(spark, monkeypatch, local):
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(30)]
     for p in list(prints):
@@ -62,9 +64,8 @@ def test_links_and_classes_against_all_pairs(spark):
     want = brute_classes(set(prints))
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     frame = spark.createDataFrame([(signed(p),) for p in set(prints)], "fp long")
-    from pictora.llm.common import components
-
-    got = {r.node % 2**64: r.root % 2**64 for r in components(simhash.links(frame)).collect()}
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
+    got = {r.node % 2**64: r.root % 2**64 for r in common.components(simhash.links(frame)).collect()}
     same = lambda c: {frozenset(k for k in c if c[k] == v) for v in set(c.values())}
     assert same(got) == {g for g in same(want) if len(g) > 1}
 
