@@ -40,8 +40,8 @@ PIECES = {
     "bottoms": f"SELECT top_id, row_number() OVER (PARTITION BY top_id ORDER BY vec_id) - 1 AS bot_id, d AS c FROM tops QUALIFY row_number() OVER (PARTITION BY top_id ORDER BY vec_id) <= {BOTTOM_K}",
     "hier": f"SELECT vec_id, tops.top_id, bot_id::INT AS bot_id, (tops.top_id * {BOTTOM_K} + bot_id)::INT AS word_id FROM tops JOIN bottoms USING (top_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(d, c) / (sqrt(list_dot_product(d, d)) * sqrt(list_dot_product(c, c))) DESC, bot_id) = 1",
     "images": "SELECT DISTINCT image_id, image_no, category FROM features",
-    "captioned": "SELECT images.*, text FROM images JOIN documents ON doc_id = image_no",
-    "vw": "SELECT image_id, category, 'vw' || word_id AS term FROM assigned JOIN (SELECT image_id FROM captioned) USING (image_id)",
+    "captioned": "SELECT 'images/' || category || '/' || doc_id || '.jpg' AS image_id, doc_id AS image_no, category, image_id AS shown, text FROM documents JOIN images ON image_no = doc_id % 100",
+    "vw": "SELECT captioned.image_id, captioned.category, 'vw' || word_id AS term FROM captioned JOIN assigned ON shown = assigned.image_id",
     "tw": r"SELECT image_id, category, term FROM (SELECT image_id, category, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM captioned) WHERE term <> ''",
     "docs": "SELECT 'vw' AS modality, * FROM vw UNION ALL SELECT 'tw', * FROM tw UNION ALL SELECT 'vw_tw', * FROM vw UNION ALL SELECT 'vw_tw', * FROM tw",
     "lengths": "SELECT modality, image_id AS doc_id, count(*) AS length FROM docs GROUP BY ALL",
@@ -64,7 +64,7 @@ PIECES = {
     "fused": "SELECT query_img, category, doc_id, share * coalesce(a, missing) + (1 - share) * coalesce(b, missing) AS fused FROM two_ranks JOIN missing USING (query_img) JOIN lambdas USING (query_img)",
     "fused_ranks": "SELECT *, row_number() OVER (PARTITION BY query_img ORDER BY round(fused, 9), doc_id) - 1 AS rank FROM fused",
     "fused_aps": "SELECT query_img, category, sum(precision * relevant) / any_value(n) AS ap FROM (SELECT *, (split_part(doc_id, '/', 2) = category)::INT AS relevant, sum((split_part(doc_id, '/', 2) = category)::INT) OVER (PARTITION BY query_img ORDER BY rank) / (rank + 1) AS precision FROM fused_ranks) JOIN sizes USING (category) GROUP BY query_img, category",
-    "annotated": "SELECT modality, query_img, rank, ranked.doc_id, quality AS relevant FROM ranked JOIN images ON ranked.doc_id = image_id LEFT JOIN labels ON labels.doc_id = image_no WHERE rank < 5",
+    "annotated": "SELECT modality, query_img, rank, ranked.doc_id, quality AS relevant FROM ranked JOIN captioned ON ranked.doc_id = image_id LEFT JOIN labels ON labels.doc_id = image_no WHERE rank < 5",
     "accuracies": "SELECT modality, query_img, avg(relevant) AS accuracy, count(*) AS n_annotated FROM annotated WHERE relevant IS NOT NULL GROUP BY ALL",
 }
 
@@ -110,20 +110,35 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(*start(spark, sf_dir))
 
 
+IMAGES = 10 * adapters.IMAGES_PER_CATEGORY
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(image_id, key, image_no, shown, caption)``: every document is posted as an image of its own, a copy of one of the images."""
+    number, shown = F.col("image_no"), F.col("image_no") % IMAGES
+    category = F.format_string("c%d", F.floor(shown / adapters.IMAGES_PER_CATEGORY))
+    rows = adapters.captions(spark, sf_dir).withColumn("category", category)
+    image = lambda no: F.format_string("images/%s/%d.jpg", "category", no)
+    return rows.select(image(number).alias("image_id"), F.format_string("%s/%d", "category", number).alias("key"), "image_no", image(shown).alias("shown"), "caption")
+
+
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(key, caption, line, image_no)``."""
-    number = F.col("image_no")
-    key = F.format_string("c%d/%d", F.floor(number / adapters.IMAGES_PER_CATEGORY), number)
-    return adapters.captions(spark, sf_dir).where(number < 10 * adapters.IMAGES_PER_CATEGORY).select(key.alias("key"), "caption", number.alias("line"), "image_no")
+    return posts(spark, sf_dir).select("key", "caption", F.col("image_no").alias("line"), "image_no")
+
+
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of all posted images."""
+    of = bow.histograms(assigned(spark, sf_dir)).withColumnRenamed("image_id", "shown")
+    return posts(spark, sf_dir).select("image_id", "shown").join(of, "shown").drop("shown")
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bow.with_captions(bow.histograms(assigned(spark, sf_dir)), captions(spark, sf_dir))
+    return bow.with_captions(collection(spark, sf_dir), captions(spark, sf_dir))
 
 
 def ranked(spark: SparkSession, sf_dir: str, *modalities: str, top: int | None = None) -> DataFrame:
-    histograms = bow.histograms(assigned(spark, sf_dir))
-    return pipeline.search(adapters.queries(spark, sf_dir), histograms, captions(spark, sf_dir), top, modalities or pipeline.MODALITIES)[0]
+    return pipeline.search(adapters.queries(spark, sf_dir), collection(spark, sf_dir), captions(spark, sf_dir), top, modalities or pipeline.MODALITIES)[0]
 
 
 def precisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +151,7 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = adapters.features(spark, sf_dir).select(F.col("image_id").alias("doc_id"), "image_no").distinct()
+    images = posts(spark, sf_dir).select(F.col("image_id").alias("doc_id"), "image_no")
     marks = adapters.annotations(spark, sf_dir)
     return ranked(spark, sf_dir, top=5).join(images, "doc_id").join(marks, "image_no", "left")
 
@@ -298,8 +313,8 @@ def _levels(spark, sf_dir):
     features = adapters.features(spark, sf_dir)
     top = vocabulary.first_rows(features, TOP_K).select(F.col("word_id").alias("top_id"), "center")
     placed = assign(features, top.select(F.col("top_id").alias("word_id"), "center"), to="top_id")
-    rank = F.row_number().over(Window.partitionBy("top_id").orderBy("vec_id")) - 1
-    bottom = placed.withColumn("bot_id", rank.cast("int")).where(F.col("bot_id") < BOTTOM_K).select("top_id", "bot_id", F.col("descriptor").alias("center"))
+    rank = F.row_number().over(Window.partitionBy("top_id").orderBy("vec_id"))
+    bottom = placed.withColumn("rank", rank).where(F.col("rank") <= BOTTOM_K).select("top_id", (F.col("rank") - 1).alias("bot_id"), F.col("descriptor").alias("center"))
     return top, bottom
 
 
@@ -473,7 +488,8 @@ def late_fusion(spark, sf_dir):
 
 @query("SELECT query_img, doc_id, rank FROM fused_ranks WHERE rank < 5")
 def late_fusion_top5(spark, sf_dir):
-    return fused(spark, sf_dir).where("rank < 5").select("query_img", "doc_id", F.col("rank").cast("long").alias("rank"))
+    rows = ranked(spark, sf_dir, "vw", "tw")
+    return pipeline.fused(rows, joined(spark, sf_dir), top=5).select("query_img", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT round(avg(ap), 6) AS mean_ap, count(*) AS n_queries FROM fused_aps")
@@ -496,6 +512,5 @@ def accuracy_summary(spark, sf_dir):
 
 @query("SELECT modality, query_img, rank, doc_id, md5(text) AS text_md5 FROM ranked LEFT JOIN captioned ON doc_id = image_id WHERE rank < 5")
 def top5_with_text(spark, sf_dir):
-    named = captions(spark, sf_dir).select(F.concat(F.lit("images/"), "key", F.lit(".jpg")).alias("image_id"), "caption")
-    rows = pipeline.top_with_text(ranked(spark, sf_dir), named)
+    rows = pipeline.top_with_text(ranked(spark, sf_dir, top=5), posts(spark, sf_dir))
     return rows.select("modality", "query_img", F.col("rank").cast("long").alias("rank"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))

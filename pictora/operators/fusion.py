@@ -16,7 +16,7 @@ def weight(ap: DataFrame, first: str = "tw", second: str = "vw", multiplier: flo
     return rows.select("query_img", F.coalesce(F.lit(multiplier) * F.try_divide(F.col(f"ap_{first}"), total), F.lit(0.5)).alias("lambda"))
 
 
-def fuse(ranked: DataFrame, weights: DataFrame, first: str = "tw", second: str = "vw") -> DataFrame:
+def fuse(ranked: DataFrame, weights: DataFrame, first: str = "tw", second: str = "vw", top: int | None = None) -> DataFrame:
     """``(query_img, category, doc_id, fused, rank)``: ``lambda * rank in first + (1 - lambda) * rank in second``, least first.
 
     A document that one ranking lacks has the length of the longer ranking there. Both rankings of a query meet in one
@@ -30,4 +30,6 @@ def fuse(ranked: DataFrame, weights: DataFrame, first: str = "tw", second: str =
     fused = F.col("lambda") * F.coalesce("a", "missing") + (1 - F.col("lambda")) * F.coalesce("b", "missing")
     rows = rows.select("query_img", "category", "doc_id", fused.alias("fused"))
     order = Window.partitionBy("query_img").orderBy(F.round("fused", 9), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order) - 1)
+    placed = rows.withColumn("place", F.row_number().over(order))
+    placed = placed if top is None else placed.where(F.col("place") <= top)
+    return placed.withColumn("rank", F.col("place") - 1).drop("place")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP = 20
+#: Query terms of at most some 40 bytes that are broadcast, once counted.
+ASKED_TERMS = 100_000
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -27,13 +29,17 @@ def doc_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("modality", "term").agg(F.count("*").alias("df"))
 
 
-def weights(docs: DataFrame) -> DataFrame:
+def weights(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """``(modality, term, doc_id, tf, weight)``.
 
-    A document's length goes along with its terms when they are exploded, so only the documents' frequencies are joined, and
-    those share the postings' partitioning by term.
+    A document's length goes along with its terms when they are exploded, so only the documents' frequencies are joined. With
+    ``asked(modality, term)``, a computed set of terms, only their postings are made: a search never aggregates or moves the others.
     """
     sized = docs.select("modality", F.col("image_id").alias("doc_id"), F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    if asked is not None:
+        wanted = asked.select("modality", "term").distinct()
+        few = wanted.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+        sized = sized.join(F.broadcast(wanted) if few else wanted, ["modality", "term"], "left_semi")
     posted = sized.groupBy("modality", "term", "doc_id", "length").agg(F.count("*").alias("tf"))
     number = docs.groupBy("modality").agg(F.count("*").alias("n_docs"))
     frequent = posted.groupBy("modality", "term").agg(F.count("*").alias("df"))
@@ -49,8 +55,10 @@ def search(terms: DataFrame, weighted: DataFrame, top: int | None = None) -> Dat
     sums = hits.groupBy("modality", "query_img", "category", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("total"), F.sum("qtf").alias("matched"))
     scored = sums.join(asked, ["modality", "query_img"]).select("modality", "query_img", "category", "doc_id", (F.col("total") * F.col("matched") / F.col("asked")).alias("score"))
     order = Window.partitionBy("modality", "query_img").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked if top is None else ranked.where(F.col("rank") < top)
+    placed = scored.withColumn("place", F.row_number().over(order))
+    # A limit on the row number itself is seen by the optimizer: no task sends more than so many rows of a query.
+    placed = placed if top is None else placed.where(F.col("place") <= top)
+    return placed.withColumn("rank", F.col("place") - 1).drop("place")
 
 
 def write_index(docs: DataFrame, path: str) -> int:

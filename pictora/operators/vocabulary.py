@@ -211,9 +211,10 @@ def hierarchical(features: DataFrame, top: Settings, bottom: Settings, key: str
     """
     upper = flat(features, top).vocabulary.select(F.col("word_id").alias("top_id"), "center")
     placed = assign(features, upper.select(F.col("top_id").alias("word_id"), "center"), top.metric, "top_id").where("top_id >= 0")
-    rank = F.row_number().over(Window.partitionBy("top_id").orderBy(key)) - 1
-    start = placed.select("top_id", key, "descriptor").withColumn("bot_id", rank.cast("int")).where(F.col("bot_id") < bottom.k)
-    start = start.select((F.col("top_id") * bottom.k + F.col("bot_id")).alias("word_id"), F.col("descriptor").alias("center"))
+    # A limit on the row number itself is seen by the optimizer, so each task sorts and sends no more than k rows of a top cluster.
+    rank = F.row_number().over(Window.partitionBy("top_id").orderBy(key))
+    start = placed.select("top_id", key, "descriptor").withColumn("rank", rank).where(F.col("rank") <= bottom.k)
+    start = start.select((F.col("top_id") * bottom.k + F.col("rank") - 1).cast("long").alias("word_id"), F.col("descriptor").alias("center"))
     known = matrix(upper.select(F.col("top_id").alias("word_id"), "center"))
 
     def split(vocabulary: Matrix) -> dict[int, Matrix]:

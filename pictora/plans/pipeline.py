@@ -95,7 +95,7 @@ def search(queries: DataFrame, histograms: DataFrame, captions: DataFrame, top:
     joined = bow.with_captions(histograms, captions)
     docs = bow.modalities(joined).where(F.col("modality").isin(*modalities))
     terms = bow.query_terms(queries, histograms).where(F.col("modality").isin(*modalities))
-    return index.search(terms, index.weights(docs), top), joined
+    return index.search(terms, index.weights(docs, terms), top), joined
 
 
 def evaluated(ranked: DataFrame, joined: DataFrame) -> DataFrame:
@@ -103,9 +103,9 @@ def evaluated(ranked: DataFrame, joined: DataFrame) -> DataFrame:
     return evaluate.average_precision(ranked, bow.category_counts(joined))
 
 
-def fused(ranked: DataFrame, joined: DataFrame, multiplier: float = 1.0) -> DataFrame:
+def fused(ranked: DataFrame, joined: DataFrame, multiplier: float = 1.0, top: int | None = None) -> DataFrame:
     """The late fusion of textual and visual rankings, weighted by their average precision."""
-    return fusion.fuse(ranked, fusion.weight(evaluated(ranked, joined), multiplier=multiplier))
+    return fusion.fuse(ranked, fusion.weight(evaluated(ranked, joined), multiplier=multiplier), top=top)
 
 
 def fused_by_annotation(ranked: DataFrame, annotated: DataFrame, multiplier: float = 1.0) -> DataFrame:
