@@ -21,6 +21,8 @@ from pictora.operators.forest import Forest
 #: Values of a block of centers: 64 MB.
 BLOCK_VALUES = 8_000_000
 ROWS = 4096
+#: Scores that stand in memory at a time: 16 MB, whatever the number of words.
+TILE = 2_000_000
 
 
 #: Words in order and their centers.
@@ -44,6 +46,19 @@ def scores(x: np.ndarray, centers: np.ndarray, metric: str) -> np.ndarray:
     return np.where(np.isnan(out), -np.inf, out)
 
 
+def best_of(x: np.ndarray, centers: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first of its best centers and that one's score, tile by tile."""
+    at, top = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+    step = max(1, TILE // max(1, len(x)))
+    for low in range(0, len(centers), step):
+        value = scores(x, centers[low : low + step], metric)
+        found = value.argmax(axis=1)
+        value = value[np.arange(len(x)), found]
+        better = value > top
+        at, top = np.where(better, low + found, at), np.where(better, value, top)
+    return at, top
+
+
 def dense(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -70,9 +85,8 @@ def assign(features: DataFrame, vocabulary: DataFrame | Matrix, metric: str = "c
             ids, block = shared.value
 
             def better(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
-                value = scores(x, block, metric)
-                best = value.argmax(axis=1)
-                top, old = value[np.arange(len(x)), best], part.column(part.num_columns - 1).to_numpy()
+                best, top = best_of(x, block, metric)
+                old = part.column(part.num_columns - 1).to_numpy()
                 word = np.where(top > old, ids[best], part.column(part.num_columns - 2).to_numpy()).astype(np.int32)
                 return pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(word), pa.array(np.maximum(top, old))], schema=part.schema)
 
@@ -123,9 +137,8 @@ def assign_hierarchical(features: DataFrame, top: DataFrame | Matrix, bottom: Da
                 if t in shared.value:
                     ids, block = shared.value[t]
                     rows_ = np.flatnonzero(tops == t)
-                    value = scores(x[rows_], block, metric)
-                    best = value.argmax(axis=1)
-                    out[rows_] = np.where(value[np.arange(len(rows_)), best] > -np.inf, ids[best], -1)
+                    best, value = best_of(x[rows_], block, metric)
+                    out[rows_] = np.where(value > -np.inf, ids[best], -1)
             return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out)], schema=part.schema)
 
         yield from _with_word(batches, at, "bot_id", choose)

@@ -143,3 +143,24 @@ def test_scores_by_hand(spark):
 def test_forest_assignment_of_an_empty_vocabulary(spark):
     f = features(spark, [(1, 0)])
     assert assign_forest(f, words(spark, []).where("false")).first().word_id == -1
+
+
+def test_scores_of_many_words_stay_in_tiles(monkeypatch):
+    """Tiles give the same words as one matrix, ties included, and never hold more scores than stated."""
+    import numpy as np
+
+    from pictora.operators import assign as module
+
+    rng = np.random.default_rng(1)
+    x, centers = rng.normal(size=(50, 8)), rng.normal(size=(900, 8))
+    centers[500] = centers[3]
+    x[0] = centers[3]
+    whole = {m: module.scores(x, centers, m) for m in ("cosine", "euclidean")}
+    monkeypatch.setattr(module, "TILE", 50 * 64)
+    seen, plain = [], module.scores
+    monkeypatch.setattr(module, "scores", lambda *a: seen.append(a[0].shape[0] * a[1].shape[0]) or plain(*a))
+    for metric, want in whole.items():
+        at, top = module.best_of(x, centers, metric)
+        assert (top == want.max(axis=1)).all() if metric == "cosine" else np.allclose(top, want.max(axis=1))
+        assert at[0] == 3
+    assert max(seen) <= 50 * 64
