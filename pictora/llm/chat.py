@@ -12,9 +12,9 @@ than, number sign; in roles the colon as well), so the text between two markers
 The folding and the rendering are dealt out by conversation and turn, so that only finished pieces meet in the one
 row that a conversation is; a very long conversation costs one long row but no long sort or fold in one task.
 
-Defined cases: null text or role is empty; deltas before any message open one, edits likewise; of events with one ``seq`` the order
-is by kind (message, edit, regenerate, delta), role, text; two messages in one turn are both kept, in that order; a
-null turn comes first; null conv_ids are one conversation; an empty log gives an empty result; other columns are ignored.
+Defined cases: null text or role is empty; deltas before any message open one, edits likewise, and a message that follows is another
+one; an event of an unknown or null kind adds its text as a delta does; of events with one ``seq`` the order is by kind (message, edit, regenerate, delta), role, text; two messages in one turn are both kept, in that order; a
+null turn comes first; null conv_ids are one conversation; an empty log gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,10 +49,10 @@ def render(role: Column, text: Column) -> Column:
 
 def messages(events: DataFrame) -> DataFrame:
     """The final messages ``(conv_id, turn, part, role, text)``; part numbers the messages of one turn."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(len(KINDS) + 1))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0).cast("long")), F.lit(len(KINDS)).cast("long"))
     log = events.select("conv_id", "turn", "seq", rank.alias("rank"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id", "turn").orderBy("seq", "rank", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    log = log.select("*", F.row_number().over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("step"), F.greatest(F.lit(1), F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(order)).alias("part"), F.sum(F.when(F.col("rank") <= 3, 1).otherwise(0)).over(order).alias("reset"))
+    log = log.select("*", F.row_number().over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("step"), (F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(order) + F.when(F.first("rank").over(order) == 1, 0).otherwise(1)).alias("part"), F.sum(F.when(F.col("rank") <= 3, 1).otherwise(0)).over(order).alias("reset"))
     # Of a message only what follows its last reset counts; the role is the one its first event names.
     last = Window.partitionBy("conv_id", "turn", "part")
     log = log.withColumn("last_reset", F.max("reset").over(last))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from pictora.llm import chat, queries
 
 SCHEMA = "conv_id long, seq long, turn long, kind string, role string, text string"
@@ -66,3 +68,20 @@ def test_query_against_python(spark, sf_dir):
         loss = "".join(t for _, role, t in rows if role == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(rows), sha("".join(f"{r}\n{t}\n" for _, r, t in rows)))
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+
+
+def test_no_event_replaces_or_loses_what_others_say(spark):
+    """Unknown and null kinds add their text; what is said before a turn's first message is a message of its own; clashing names are ignored."""
+    rows = [
+        (1, 0, 0, "message", "user", "hello"), (1, 1, 0, "tool", None, " X"), (1, 2, 0, None, None, " Y"),
+        (2, 0, 0, "delta", "assistant", "lost?"), (2, 1, 0, "message", "user", "kept"), (2, 2, 0, "delta", None, "!"),
+        (3, 0, 0, "edit", "user", "first"), (3, 1, 0, "edit", None, "second"),
+        (4, 0, 0, "tool", "tool", "only"),
+    ]
+    events = spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string")
+    for name in ("rank", "part", "reset", "step", "last_reset", "said", "piece", "span", "raw"):
+        events = events.withColumn(name, F.lit("x"))
+    found = {}
+    for r in chat.messages(events).orderBy("conv_id", "turn", "part").collect():
+        found.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert found == {1: [("user", "hello X Y")], 2: [("assistant", "lost?"), ("user", "kept!")], 3: [("user", "second")], 4: [("tool", "only")]}
