@@ -99,10 +99,10 @@ FROM rendered GROUP BY conv_id
 """
 
 
-def _descent(name: str, n_shards: int) -> str:
+def _descent(name: str, n_shards: int, base: int | None = None) -> str:
     """CTEs that descend the tree of so many shards, level by level, and end in ``name(key, shard)``."""
     rows, number = [], 0
-    for r, region in enumerate(shards.topology(n_shards)):
+    for r, region in enumerate(shards.topology(n_shards, base)):
         for k, rack in enumerate(region):
             for s, weight in enumerate(rack):
                 rows.append(f"({r}, {k}, {number}, 'r{r}', 'r{r}k{k}', 'r{r}k{k}s{s}', {weight!r}::DOUBLE)")
@@ -149,7 +149,8 @@ def _filled(name: str, above: str, parent: str, child: str) -> str:
 _MIXING = rf"""
 WITH named AS (
   SELECT doc_id, lang, source, 'd' || ({_crc("hex(encode(coalesce(source, '')))", "octet_length(encode(coalesce(source, '')))")} % 4) AS domain,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n_tokens FROM documents
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n_tokens FROM documents
 ), leaves AS (
   SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS tokens, 4 * sum(n_tokens)::DOUBLE AS cap FROM named GROUP BY ALL
 ), top AS (SELECT 0.8::DOUBLE * sum(tokens) AS given FROM leaves),{_filled("domains", "top", "", "domain")},{_filled("langs", "domains", "domain", "lang")},{_filled("sources", "langs", "domain, lang", "source")},
@@ -170,7 +171,7 @@ WITH sized AS (
   SELECT doc_id, doc_id::VARCHAR AS key, octet_length(encode(coalesce(text, '')))::BIGINT + {shards.OVERHEAD} AS size, hex(encode(coalesce(text, ''))) AS bytes FROM documents
 ), summed AS (
   SELECT doc_id, key, size, {_crc("bytes", f"size - {shards.OVERHEAD}")} AS text_crc32 FROM sized
-), keys AS (SELECT DISTINCT key FROM sized),{_descent('now', 40)},{_descent('grown', 41)}
+), keys AS (SELECT DISTINCT key FROM sized),{_descent('now', 40)},{_descent('grown', 41, 40)}
 SELECT doc_id, size, text_crc32, 'key' AS law, now.shard AS shard,
   row_number() OVER (PARTITION BY now.shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown.shard AS grown_shard
 FROM summed JOIN now USING (key) JOIN grown USING (key)

@@ -4,10 +4,11 @@ A topology is a list of regions, each a list of racks, each a list of shard weig
 level every child draws a hash of (key, child) and the child with the least ``-ln(u) / weight`` wins, so children win in
 proportion to their weights, and if a child's weight changes rows only move to or from that child. What moves is thus
 confined to the subtrees whose weights change. A shard that is added becomes a region of its own, so it takes rows from
-everywhere, in proportion to its weight, and no row moves between the others: the law is ``key``.
+everywhere, in proportion to its weight, and no row moves between the others, as long as the topology keeps its base: the law is ``key``.
 
 Slots number a shard's rows without gaps. Rows are dealt by hash into buckets small enough for one task, numbered within the
-bucket, and moved up by the sizes of the buckets before; no task ever sorts a whole shard.
+bucket, and moved up by the sizes of the buckets before; no task ever sorts a whole shard. Slots follow the ids in tables of one bucket a shard, and
+the buckets' hashes first in larger ones.
 
 Defined cases: a null text has size 16 and checksum 0; a null key is hashed as a key of its own; rows with equal keys share a
 shard and have separate slots; an empty table gives an empty result; other columns are ignored.
@@ -28,9 +29,13 @@ BUCKET_ROWS = 50_000
 HEX = 12
 
 
-def topology(shards: int, regions: int = 2, racks: int = 4, per_rack: int = 5) -> Topology:
-    """Full regions of racks of equal shards as far as they go; each further shard is a region of its own."""
-    full = min(regions, shards // (racks * per_rack))
+def topology(shards: int, base: int | None = None, regions: int = 2, racks: int = 4, per_rack: int = 5) -> Topology:
+    """Of the first ``base`` shards (all, if not given) full regions of racks of equal shards as far as they go; each other shard is a region of its own.
+
+    Keep the base that a store began with as it grows: then the shards beyond it stay regions of their own, and no number of shards moves rows
+    between the others.
+    """
+    full = min(regions, min(shards, shards if base is None else base) // (racks * per_rack))
     tree: Topology = [[[1.0] * per_rack for _ in range(racks)] for _ in range(full)]
     return tree + [[[1.0]] for _ in range(shards - full * racks * per_rack)]
 
@@ -96,5 +101,5 @@ def slots(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``; grown_shard: with one shard more."""
-    rows = descend(descend(sized(docs), "doc_id", topology(shards)), "doc_id", topology(shards + 1), "grown_shard")
+    rows = descend(descend(sized(docs), "doc_id", topology(shards)), "doc_id", topology(shards + 1, shards), "grown_shard")
     return slots(durable(rows)).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -55,3 +55,15 @@ def test_odd_rows(spark, odd, nothing):
     assert one.shard == two.shard and one.slot != two.slot
     assert next(r for r in rows if r.doc_id == 7).text_crc32 == zlib.crc32(b"zwei")
     assert shards.shard(nothing).count() == 0
+
+
+def test_one_more_shard_takes_rows_only_into_itself_at_any_number(spark):
+    """From n to n + 1 and n + 2 shards, for layouts that began with n: rows move into the new ones only."""
+    keys = spark.range(2000).select(F.col("id").alias("doc_id")).coalesce(4)
+    for n in (1, 2, 7, 19, 20, 21, 38, 39, 40, 41, 59, 60):
+        now = shards.descend(keys, "doc_id", shards.topology(n), "now")
+        more = shards.descend(now, "doc_id", shards.topology(n + 1, n), "more")
+        last = shards.descend(more, "doc_id", shards.topology(n + 2, n), "last")
+        moved = last.where("(now <> more and more <> %d) or (more <> last and last <> %d)" % (n, n + 1))
+        assert moved.isEmpty(), n
+        assert last.where(f"more = {n}").count() > 0
