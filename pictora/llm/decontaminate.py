@@ -6,8 +6,10 @@ names a seed: the hash of the words under the ones, so that words under the zero
 hit the item is laid over the text on the hit's diagonal and compared word by word: a document is contaminated if the
 words that agree are at least the share ``LEAST_SHARE`` of the item, or if at least ``LEAST_RUN`` of them agree in a row.
 
-Every item of five words or more is found exactly and, at fourteen words or more, with any two words substituted;
-shorter items are looked up as a whole.
+Every item of five words or more is found exactly. Items of five to thirteen words have short masks, which find them with any
+words substituted that the rule allows: of the n - 3 places of the mask 1101 a substituted word spoils three at most, and at five words, where that
+may be all, 1011 is left. Longer items have wide masks, which find any two words substituted, and more of them mostly. Items under five
+words are looked up as a whole.
 
 Defined cases: null and empty texts and items match nothing; repeated documents and items are matched each, and rows with one
 (doc_id, item_id) are one result; texts of any length are searched whole; empty tables give an empty result; other columns
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from pictora.llm.common import durable
 
 MASKS = ("11111", "1101011", "110010011")
+#: Masks of items of fewer than LONG words, and the least words of an item that has masks.
+SHORT_MASKS = ("1101", "1011")
+LONG, LEAST = 14, 5
 LEAST_SHARE = 0.8
 LEAST_RUN = 13
 #: Seeds of test items that are broadcast at a time, of 48 bytes each; their items' words go with them.
@@ -56,16 +61,17 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     Of hits that follow each other on one diagonal only the first goes on, with the stretch of words that the item covers, so
     the number of rows made does not grow with the length of what is shared, nor their width with the length of a text.
     """
-    wide = min(map(len, MASKS))
     asked = durable(items.select("item_id", tokens(F.col("text")).alias("words")).where("size(words) > 0").withColumn("item", F.monotonically_increasing_id()))
-    # An item too short for any mask has one seed of its own length; others have the seeds of the masks.
-    short = sorted(r[0] for r in asked.where(F.size("words") < wide).select(F.size("words").alias("n")).distinct().collect())
-    masks = [*MASKS, *("1" * n for n in short)]
-    fits = (F.size("words") >= wide) == (F.col("mask") < len(MASKS))
-    whole = F.col("mask") < len(MASKS)
-    for k, n in enumerate(short):
-        whole = whole | ((F.col("mask") == len(MASKS) + k) & (F.size("words") == n))
-    seeds = _seeds(asked, ["item"], masks).where(fits & whole)
+    # Each mask with the sizes of the items that have it; masks that no item has are left out. An item too short for masks has one seed of its own length.
+    n = F.size("words")
+    sizes = asked.agg(F.max(n >= LONG).alias("long"), F.max((n >= LEAST) & (n < LONG)).alias("mid"), F.collect_set(F.when(n < LEAST, n)).alias("short")).first()
+    of_size = [(m, n >= LONG) for m in MASKS if sizes.long] + [(m, (n >= LEAST) & (n < LONG)) for m in SHORT_MASKS if sizes.mid] + [("1" * k, n == k) for k in sorted(sizes.short)]
+    of_size = of_size or [(MASKS[0], n >= LONG)]
+    masks = [m for m, _ in of_size]
+    whole = F.lit(False)
+    for k, (_, has) in enumerate(of_size):
+        whole = whole | ((F.col("mask") == k) & has)
+    seeds = _seeds(asked, ["item"], masks).where(whole)
     seeds = durable(seeds.select("item", F.size("words").alias("n_item"), F.col("mask").alias("item_mask"), F.col("at").alias("item_at"), F.col("key").alias("item_key"), _before(masks).alias("item_before")))
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
     train = _seeds(docs.select("doc_id", tokens(F.col("text")).alias("words")), ["doc_id"], masks)

@@ -48,3 +48,22 @@ def test_odd_rows(spark, odd, nothing):
     assert got == [(0, 1), (1, 1), (2, 1), (5, 4), (7, 0)]
     assert decontaminate.overlaps(nothing, items).count() == 0
     assert decontaminate.overlaps(odd, items.where("false")).count() == 0
+
+
+def test_items_with_all_substitutions_that_the_rule_allows(spark):
+    """Five to twenty words, a fifth of them substituted at random places: every item is found up to thirteen words, and practically all beyond."""
+    rng = random.Random(11)
+    items, docs = [], []
+    for n in range(5, 21):
+        for k in range(30):
+            words = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+            items.append((100 * n + k, " ".join(words)))
+            for at in rng.sample(range(n), n // 5):
+                words[at] = f"x{rng.getrandbits(40)}"
+            around = [f"y{rng.getrandbits(40)}" for _ in range(30)]
+            docs.append((100 * n + k, " ".join([*around[:15], *words, *around[15:]])))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    missed = {d for d, _ in docs} - {d for d, i in found if d == i}
+    assert len(found) == len(docs) - len(missed) and not {d for d in missed if d < 1400} and len(missed) <= 4
+    only_mid = decontaminate.overlaps(spark.createDataFrame(docs[:30], "doc_id long, text string"), spark.createDataFrame(items[:30], "item_id long, text string"))
+    assert only_mid.count() == 30
