@@ -9,7 +9,8 @@ template is covered, the span of the document's words it covers, and the share o
 The templates are a fixed set of short notices, so the index is a constant that goes out with the code.
 
 Defined cases: null and empty texts match nothing; texts of any length are scanned whole; repeated rows are scanned each;
-one document may match several templates, and one template several times in separate spans; an empty table gives an
+one document may match several templates (of templates that tie each is
+reported), and one template several times in disjoint spans, adjoining ones included; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -100,21 +101,32 @@ class Index:
         hits = np.flatnonzero(np.isin(grams, self.known) & (grams >= 0))
         if not len(hits):
             return []
-        diagonals: dict[int, list[int]] = defaultdict(list)
+        by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at in hits.tolist():
             for template, place in self.places[int(grams[at])]:
-                diagonals[template].append(at - place)
-        out = []
-        for template, shifts in diagonals.items():
-            done = None
-            for shift in sorted(shifts):
-                if done is not None and shift - done <= BAND:
-                    continue
-                done = shift
-                match = align(self.texts[template], ids, shift)
-                if match and match[0] >= LEAST_COVERAGE:
-                    out.append((self.names[template], *match))
-        return out
+                by_template[template].append((at, at - place))
+        return [(self.names[template], *match) for template, found in by_template.items() for match in self._matches(self.texts[template], ids, found)]
+
+    @staticmethod
+    def _matches(template: np.ndarray, ids: np.ndarray, found: list[tuple[int, int]]) -> Iterator[tuple[float, float, int, int]]:
+        """Disjoint matches of one template, from its hits (place in the text, shift) in the order of the text.
+
+        A hit within what is reported is done. Each other one is aligned with the words after that. If the best match in the band doesn't hold
+        the hit but lies after it, the words before it are tried as well; that match is then found by its own hits. A diagonal
+        near one that gave nothing is not aligned again.
+        """
+        done, failed = 0, None
+        for at, shift in found:
+            if at < done or (failed is not None and abs(shift - failed) <= BAND // 2):
+                continue
+            end = len(ids)
+            while (match := align(template, ids[done:end], shift - done)) and match[2] + done > at:
+                end = match[2] + done
+            if match and match[0] >= LEAST_COVERAGE:
+                yield match[0], match[1], match[2] + done, match[3] + done
+                done, failed = match[3] + done, None
+            elif end == len(ids):
+                failed = shift
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[float, float, int, int] | None:
