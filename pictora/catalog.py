@@ -49,6 +49,11 @@ PIECES = {
     "dfs": "SELECT modality, term, count(*) AS df FROM posted GROUP BY ALL",
     "weighted": "SELECT modality, term, doc_id, tf, sqrt(tf) * (1 + ln(n_docs / (df + 1))) ** 2 / sqrt(length) AS weight FROM posted JOIN dfs USING (modality, term) JOIN lengths USING (modality, doc_id) CROSS JOIN (SELECT count(*) AS n_docs FROM captioned)",
     "asked_images": "SELECT image_id AS query_img, category, (['" + "','".join(adapters.KEYWORDS) + "'])[substr(category, 2)::INT + 1] AS keyword FROM images WHERE image_no % 10 = 0",
+    "hier_vw": "SELECT captioned.image_id, 'vw' || word_id AS term FROM captioned JOIN features ON shown = features.image_id JOIN hier USING (vec_id)",
+    "hier_posted": "SELECT term, image_id AS doc_id, count(*) AS tf FROM hier_vw GROUP BY ALL",
+    "hier_weighted": "SELECT term, doc_id, sqrt(tf) * (1 + ln(n_docs / (count(*) OVER (PARTITION BY term) + 1))) ** 2 / sqrt(sum(tf) OVER (PARTITION BY doc_id)) AS weight FROM hier_posted CROSS JOIN (SELECT count(*) AS n_docs FROM captioned)",
+    "hier_asked": "SELECT query_img, 'vw' || word_id AS term, count(*) AS qtf FROM asked_images JOIN features ON query_img = features.image_id JOIN hier USING (vec_id) GROUP BY ALL",
+    "hier_scored": "SELECT query_img, doc_id, sum(qtf * weight) * sum(qtf) / any_value(n) AS score FROM hier_asked JOIN hier_weighted USING (term) JOIN (SELECT query_img, sum(qtf) AS n FROM hier_asked GROUP BY ALL) USING (query_img) GROUP BY query_img, doc_id",
     "query_vw": "SELECT query_img, asked_images.category, 'vw' || word_id AS term FROM asked_images JOIN assigned ON query_img = image_id",
     "query_tw": "SELECT query_img, category, keyword AS term FROM asked_images",
     "asked": "SELECT modality, query_img, category, term, count(*) AS qtf FROM (SELECT 'vw' AS modality, * FROM query_vw UNION ALL SELECT 'tw', * FROM query_tw UNION ALL SELECT 'vw_tw', * FROM query_vw UNION ALL SELECT 'vw_tw', * FROM query_tw) GROUP BY ALL",
@@ -127,9 +132,9 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).select("key", "caption", F.col("image_no").alias("line"), "image_no")
 
 
-def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def collection(spark: SparkSession, sf_dir: str, words: Callable[[SparkSession, str], DataFrame] = assigned) -> DataFrame:
     """Histograms of all posted images."""
-    of = bow.histograms(assigned(spark, sf_dir)).withColumnRenamed("image_id", "shown")
+    of = bow.histograms(words(spark, sf_dir)).withColumnRenamed("image_id", "shown")
     return posts(spark, sf_dir).select("image_id", "shown").join(of, "shown").drop("shown")
 
 
@@ -430,6 +435,13 @@ def tfidf_search_top20(spark, sf_dir):
     return ranked(spark, sf_dir, "vw", top=index.TOP).select("query_img", F.col("rank").cast("long").alias("rank"), "doc_id", rounded("score", "score"))
 
 
+@query("SELECT query_img, row_number() OVER (PARTITION BY query_img ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank, doc_id, round(score, 6) AS score FROM hier_scored QUALIFY rank < 20")
+def hier_search_top20(spark, sf_dir):
+    """Ranked search by the words of a two-level vocabulary, found top down."""
+    found, _ = pipeline.search(adapters.queries(spark, sf_dir), collection(spark, sf_dir, _hierarchy), captions(spark, sf_dir), index.TOP, ("vw",))
+    return found.select("query_img", F.col("rank").cast("long").alias("rank"), "doc_id", rounded("score", "score"))
+
+
 def _search(modality: str) -> None:
     @query(f"SELECT query_img, rank, doc_id, round(score, 6) AS score FROM ranked WHERE modality = '{modality}'")
     def search(spark, sf_dir):

@@ -29,6 +29,11 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
 def make(spark: SparkSession, path: str) -> bool:
     p, fs = _at(spark, path)
     return fs.mkdirs(p)
@@ -45,7 +50,7 @@ def rename(spark: SparkSession, source: str, target: str) -> str:
     """Rename, with the first free number behind the name if the target exists."""
     p, fs = _at(spark, source)
     found, n = target, 0
-    while fs.exists(_at(spark, found)[0]):
+    while exists(spark, found):
         n += 1
         found = f"{target}-{n}"
     if not fs.rename(p, _at(spark, found)[0]):

@@ -17,20 +17,47 @@ def descriptor(line: Column | str, geometry: int = 4) -> Column:
     return F.transform(F.slice(values, geometry + 1, F.greatest(F.size(values) - geometry, F.lit(0))), lambda x: x.cast("double"))
 
 
-def read_vocabulary(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """``(word_id, center)`` from lines ``id TAB {v0,v1,...}`` or ``id TAB {i:v,...}``; values left out are zero."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+def _words(dim: int) -> list[Column]:
     body = F.regexp_extract("value", r"\{(.*?)\}", 1)
     parts = F.transform(F.split(body, ","), lambda x: F.trim(x))
     sparse = F.map_from_entries(F.transform(parts, lambda p: F.struct(F.split(p, ":").getItem(0).cast("int"), F.split(p, ":").getItem(1).cast("double"))))
     filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(sparse, i), F.lit(0.0)))
     center = F.when(body.contains(":"), filled).when(F.trim(body) == "", F.array_repeat(F.lit(0.0), dim)).otherwise(F.transform(parts, lambda x: x.try_cast("double")))
-    return lines.select(F.trim(F.substring_index("value", "\t", 1)).cast("int").alias("word_id"), center.alias("center"))
+    return [F.trim(F.substring_index("value", "\t", 1)).cast("int").alias("word_id"), center.alias("center")]
+
+
+def read_vocabulary(spark: SparkSession, path: str | list[str], dim: int) -> DataFrame:
+    """``(word_id, center)`` from lines ``id TAB {v0,v1,...}`` or ``id TAB {i:v,...}`` of one or several paths; values left out are zero."""
+    return spark.read.text(path).where(F.trim("value") != "").select(*_words(dim))
+
+
+def _line(word: str) -> Column:
+    values = F.array_join(F.transform("center", lambda x: x.cast("string")), ",")
+    return F.concat_ws("\t", F.col(word).cast("string"), F.concat(F.lit("{"), values, F.lit("}")))
 
 
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
-    values = F.concat(F.lit("{"), F.array_join(F.transform("center", lambda x: x.cast("string")), ","), F.lit("}"))
-    vocabulary.select(F.concat_ws("\t", F.col("word_id").cast("string"), values)).write.mode("overwrite").text(path)
+    vocabulary.select(_line("word_id")).write.mode("overwrite").text(path)
+
+
+def write_levels(top: DataFrame, bottom: DataFrame, path: str) -> None:
+    """Both levels of a vocabulary as text, in the folders ``level=0/top_id=-1`` and ``level=1/top_id=<id>``."""
+    upper = top.select(_line("top_id").alias("value"), F.lit(0).alias("level"), F.lit(-1).alias("top_id"))
+    lower = bottom.select(_line("bot_id").alias("value"), F.lit(1).alias("level"), F.col("top_id").cast("int").alias("top_id"))
+    upper.unionByName(lower).repartition("level", "top_id").write.mode("overwrite").partitionBy("level", "top_id").text(path)
+
+
+def read_levels(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """``(top_id, center)`` and ``(top_id, bot_id, center)`` of what ``write_levels`` wrote."""
+    top = read_vocabulary(spark, f"{path}/level=0/top_id=-1", dim).withColumnRenamed("word_id", "top_id")
+    of = F.regexp_extract(F.col("_metadata.file_path"), r"top_id=(-?\d+)", 1).cast("int")
+    lines = spark.read.text(f"{path}/level=1/*").select("value", of.alias("top_id"))
+    return top, lines.select("top_id", *_words(dim)).withColumnRenamed("word_id", "bot_id")
+
+
+def write_by_cluster(assigned: DataFrame, path: str) -> None:
+    """Descriptors in a folder ``top_id=<id>`` for each top cluster; a cluster that holds most of them is written by many tasks."""
+    assigned.hint("rebalance", "top_id").write.mode("overwrite").partitionBy("top_id").parquet(path)
 
 
 def checked_vocabulary(vocabulary: DataFrame, k: int) -> DataFrame:

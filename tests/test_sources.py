@@ -186,3 +186,69 @@ def test_every_data_set_of_a_root(spark, sf_dir, tmp_path):
     (tmp_path / "none").mkdir()
     built = pipeline.build_all(spark, str(tmp_path), pipeline.Config(k=3, max_iterations=1))
     assert set(built) == {"one", "two"} and all(b.histograms.agg(F.sum("total")).first()[0] == 40 for b in built.values())
+
+
+def test_stored_two_level_vocabulary_and_search_for_an_image(spark, pictures, tmp_path):
+    """An image outside the collection is quantized top down by the stored vocabulary; one that is inside finds itself first."""
+    from pictora.operators import index
+
+    config = pipeline.Config(method="hierarchical", k=3, bottom_k=4, max_iterations=2)
+    built = pipeline.run_images(spark, pictures, f"{tmp_path}/run", config=config)
+    assert set(built.seconds) == {"extract", "cluster", "frequency"} and min(built.seconds.values()) > 0
+    stored, read = pipeline.load(spark, f"{tmp_path}/run")
+    assert read == config and stored.top.count() == 3
+    features = spark.read.parquet(f"{tmp_path}/run/features")
+    again = bow.histograms(pipeline.quantize(features, stored.vocabulary, stored.top, config))
+    assert sorted(again.collect()) == sorted(stored.histograms.collect())
+
+    docs = stored.histograms.select(F.lit("vw").alias("modality"), "image_id", bow.visual_terms().alias("terms"))
+    index.write_index(docs, f"{tmp_path}/index")
+    decoded = images.decode(spark, pictures)
+    found = pipeline.search_images(decoded, stored, config, index.read_index(spark, f"{tmp_path}/index"))
+    assert {r.query_img: r.doc_id for r in found.where("rank = 0").collect()} == {k: k for k in (f"images/c{n % 2}/{n}.png" for n in range(4))}
+    outside = pipeline.search_images(decoded.limit(1), stored, config, index.read_index(spark, f"{tmp_path}/index"), "new", top=2)
+    assert sorted(r["rank"] for r in outside.collect()) == [0, 1]
+    with pytest.warns(UserWarning, match="50 top clusters wanted"):
+        pipeline.build(features.limit(20), pipeline.Config(method="hierarchical", k=50, bottom_k=2, max_iterations=1))
+
+
+def test_levels_and_clusters_on_disk(spark, tmp_path):
+    top = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.5])], "top_id int, center array<double>")
+    bottom = spark.createDataFrame([(0, 0, [1.0, 0.5]), (1, 0, [0.0, 1.0]), (1, 1, [0.5, 1.0])], "top_id int, bot_id int, center array<double>")
+    text.write_levels(top, bottom, f"{tmp_path}/levels")
+    upper, lower = text.read_levels(spark, f"{tmp_path}/levels", 2)
+    assert sorted(upper.collect()) == sorted(top.collect()) and sorted(lower.select(bottom.columns).collect()) == sorted(bottom.collect())
+    several = text.read_vocabulary(spark, [f"{tmp_path}/levels/level=1/top_id={t}" for t in (0, 1)], 2)
+    assert sorted(r.word_id for r in several.collect()) == [0, 0, 1]
+    placed = spark.range(100).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 90, 0).otherwise(F.col("id") % 3).alias("top_id"))
+    text.write_by_cluster(placed, f"{tmp_path}/split")
+    assert spark.read.parquet(f"{tmp_path}/split/top_id=0").count() == placed.where("top_id = 0").count()
+    assert sorted(spark.read.parquet(f"{tmp_path}/split").select("vec_id").collect()) == sorted(placed.select("vec_id").collect())
+
+
+def test_bundles_and_reports(spark, pictures, tmp_path):
+    rows = [("vw", "images/c0/0.png", "c0", f"c{k % 2}/{k}.png", k) for k in range(4)] + [("vw", "images/c0/0.png", "c0", "c0/gone.png", 4)]
+    ranked = spark.createDataFrame(rows, "modality string, query_img string, category string, doc_id string, rank int")
+    captions = spark.createDataFrame([("c0/0.png", "two\tlines\nof text")], "image_id string, caption string")
+    pipeline.write_bundle(spark, pipeline.top_with_text(ranked, captions), pictures, f"{tmp_path}/bundle")
+    assert sorted(p.name for p in (tmp_path / "bundle/images").iterdir() if p.suffix == ".png") == [f"{k}-{k}.png" for k in range(4)]
+    assert (tmp_path / "bundle/images/3-3.png").read_bytes() == open(f"{pictures}/c1/3.png", "rb").read()
+    lines_ = [r.value for r in spark.read.text(f"{tmp_path}/bundle/top.txt").collect()]
+    assert lines_[0] == "\t0\t0\ttwo lines of text" and lines_[4] == "\t4\tgone\t" and len(lines_) == 5
+    with pytest.raises(ValueError, match="one query"):
+        pipeline.write_bundle(spark, ranked.unionByName(ranked.withColumn("modality", F.lit("tw"))), pictures, f"{tmp_path}/two")
+
+    joined = spark.createDataFrame([(f"c{k % 2}/{k}.png", f"c{k % 2}") for k in range(4)], "image_id string, category string")
+    pipeline.write_reports(ranked.withColumn("doc_id", F.concat(F.lit("images/"), "doc_id")).where("rank < 4"), joined, f"{tmp_path}/reports")
+    assert spark.read.text(f"{tmp_path}/reports/ap_all").first().value.split("\t")[:2] == ["images/c0/0.png", "vw"]
+    assert spark.read.option("sep", "\t").csv(f"{tmp_path}/reports/ranks").count() == 4
+    assert spark.read.text(f"{tmp_path}/reports/mean_ap").count() == 1 and spark.read.csv(f"{tmp_path}/reports/ap").count() == 1
+
+
+def test_forest_against_the_exact_search(spark, sf_dir):
+    from pictora.operators import vocabulary
+    from pictora.sources import adapters
+
+    features = adapters.features(spark, sf_dir)
+    found = pipeline.compare_forest(features, vocabulary.first_rows(features, 8), budget=1.0)
+    assert found["recall"] == 1.0 and found["speedup"] > 0
