@@ -149,3 +149,25 @@ def test_sketches_of_different_widths_are_compared_at_the_narrower():
     got = near_copies.Sketches([x.tobytes() for x in (*narrow, *wide)]).apart(np.array([0, 0, 2, 1]), np.array([1, 2, 3, 3]))
     want = [narrow[0] ^ narrow[1], narrow[0] ^ wide[0][:8] ^ wide[0][8:], wide[0] ^ wide[1], narrow[1] ^ wide[1][:8] ^ wide[1][8:]]
     assert got.tolist() == [int(np.bitwise_count(x).sum()) for x in want]
+
+
+def test_prefixes_of_long_texts_are_whole(spark, monkeypatch):
+    """No shingle of a prefix is left to chance, and any order of the shingles, so any sample, gives the same classes."""
+    rng = np.random.default_rng(10)
+    none = np.empty(0, np.uint64)
+    for n in (10, 600, 5000):
+        shingles = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        found, places = near_copies.prefix(shingles, none, np.empty(0, np.int64), 0.8)
+        assert found.tolist() == shingles[: n - -(-4 * n // 5) + 1].tolist() and places.tolist() == list(range(len(found)))
+    draw = random.Random(11)
+    texts = {}
+    for k in range(12):
+        n = (104, 1004, 3004)[k % 3]
+        texts[2 * k] = [f"w{draw.getrandbits(60)}" for _ in range(n)]
+        texts[2 * k + 1] = substituted(draw, texts[2 * k], (n - 4) // 9 // 5)
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    every = np.unique(np.concatenate([near_copies.shingle_hashes(t.encode())[1] for t in texts.values()]))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    weight = rng.integers(0, 50, len(every))
+    monkeypatch.setattr(near_copies, "_common", lambda source: (every, weight))
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()} == {d: d - d % 2 for d in texts}
