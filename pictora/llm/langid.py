@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pictora.llm.common import durable, small
+from pictora.llm.common import durable, lean, small
 
 BITS = 18
 #: Labelled rows of each language that a model is fitted on, at most.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     ids = spark.createDataFrame([(r.doc_id, r.lang) for r in drawn], "drawn_id long, drawn_lang string")
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("lang") == F.col("drawn_lang")))
     sample = sample.groupBy("drawn_id", "lang").agg(F.min("text").alias("text"))  # rows under one id count once
-    counted = sample.select("lang", "text").mapInArrow(_counter({x: k for k, x in enumerate(languages)}), "lang int, bucket int, n long")
+    counted = sample.select("lang", "text").mapInArrow(lean(_counter({x: k for k, x in enumerate(languages)})), "lang int, bucket int, n long")
     sums = np.zeros((len(languages), 1 << BITS))
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         sums[r.lang, r.bucket] += r.n
@@ -219,4 +219,4 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     docs_names = docs.columns
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

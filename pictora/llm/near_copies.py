@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pictora.llm.common import Tables, components, durable, small, tidy
+from pictora.llm.common import Tables, components, durable, lean, small, tidy
 from pictora.llm.simhash import links, majority
 
 WORDS = 5
@@ -139,7 +139,7 @@ def _common(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of the texts has more than once, sorted, and in how many texts of it."""
     every = max(1, source.count() // SAMPLE)
     texts = source.where(F.pmod("key", F.lit(every)) == 0).select("text").distinct()
-    counts = texts.mapInArrow(_shingled, "node long, shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1")
+    counts = texts.mapInArrow(lean(_shingled), "node long, shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1")
     rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
     shingles, weight = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
     order = np.argsort(shingles.view(np.uint64))
@@ -245,12 +245,12 @@ class Links:
     def of(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(u, v)`` that are similar enough."""
         similarity, nodes = self.similarity, self.nodes.select("node", "n", "wide")
-        found = durable(self._both(durable(pairs), nodes).mapInArrow(_allowed(similarity), "u long, v long"))
+        found = durable(self._both(durable(pairs), nodes).mapInArrow(lean(_allowed(similarity)), "u long, v long"))
         used = durable(found.select(F.explode(F.array("u", "v")).alias("used")).distinct())
         used = durable(self.nodes.select("node", "first.key").join(small(used), F.col("node") == F.col("used")).select("used", "key"))
         # Equal hashes of texts are told apart by the names that the texts give.
         texts = self.source.join(small(durable(used.select(F.col("key").alias("used_key")).distinct())), F.col("key") == F.col("used_key"), "left_semi").select("text")
-        sets = texts.mapInArrow(_shingled, "node long, shingles array<long>")
+        sets = texts.mapInArrow(lean(_shingled), "node long, shingles array<long>")
         name = self.tables.name()
         sets = self.tables.write(sets.join(small(used.select("used")), F.col("node") == F.col("used"), "left_semi").dropDuplicates(["node"]), name)
         shared = F.size(F.array_intersect("shingles_u", "shingles_v"))
@@ -315,7 +315,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     tables = Tables(spark)
     text = F.col("text").cast("binary")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    signed = source.select("doc_id", "key", "text").mapInArrow(_signer(*_common(source), similarity), "doc_id long, key long, node long, n long, print long, sketch binary, wide binary, prefix array<long>, places array<int>")
+    signed = source.select("doc_id", "key", "text").mapInArrow(lean(_signer(*_common(source), similarity)), "doc_id long, key long, node long, n long, print long, sketch binary, wide binary, prefix array<long>, places array<int>")
     wide = tables.write(signed, "wide")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
     nodes = tables.write(wide.groupBy("node").agg(first.alias("first"), *[F.first(x).alias(x) for x in ("n", "print", "sketch", "wide", "prefix", "places")]), "nodes")
@@ -340,7 +340,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rooted = tables.write(nodes.select("node", "n", "sketch").join(root, F.col("node") == F.col("linked"), "left").select("node", "n", "sketch", F.coalesce("root", "node").alias("root")), "rooted")
     cells = _cells(met, rooted, tables).join(rooted, "node").select("shingle", "a", "b", "side", "node", "place", "root", "n", "sketch")
     cells = cells.repartition("shingle", "a", "b").sortWithinPartitions("shingle", "a", "b", "side")
-    rest = checked.of(durable(cells.mapInArrow(_similar(similarity), "u long, v long").distinct()))
+    rest = checked.of(durable(cells.mapInArrow(lean(_similar(similarity)), "u long, v long").distinct()))
     tidy(spark)
 
     joined = root.where("linked <> root").select(F.col("linked").alias("u"), F.col("root").alias("v")).unionByName(rest)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pictora.llm.common import components, durable, only
+from pictora.llm.common import components, durable, lean, only
 
 FANOUT = 8
 BLOCK = 1 << 15
@@ -184,7 +184,7 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     masks = block_masks(distance)
     dealt = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "key"))
     dealt = dealt.repartition("choice", "key").sortWithinPartitions("choice", "key", gray_rank(F.col("fp")))
-    return dealt.select("choice", "key", "fp").mapInArrow(_linker(distance), "u long, v long").distinct()
+    return dealt.select("choice", "key", "fp").mapInArrow(lean(_linker(distance)), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
