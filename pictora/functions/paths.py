@@ -45,5 +45,5 @@ def first_segment(line: Column | str, separator: str = "---") -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Lower-cased words between white space."""
-    return F.filter(F.split(F.lower(F.coalesce(_col(text), F.lit(""))), r"\s+"), lambda x: x != "")
+    """Lower-cased words between white space: blank, tab, line feed, form feed and carriage return, which are what ``\\s`` is in the SQL's engine."""
+    return F.filter(F.split(F.lower(F.coalesce(_col(text), F.lit(""))), r"[ \t\n\f\r]+"), lambda x: x != "")

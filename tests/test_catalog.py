@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pictora import catalog
 
@@ -40,6 +41,27 @@ def test_other_queries_run(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.fixture(scope="module")
+def odd_dir(spark, sf_dir, tmp_path_factory):
+    """The smallest tables with captions that are null, empty, blank, or hold rare white space."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    odd = spark.createDataFrame(list(enumerate([None, "", " \t ", "a\x0bb c\x0cd", "\x1cq r\x85s\xa0t", "one"])), "doc_id long, odd string")
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").join(odd, "doc_id", "left")
+    texts.withColumn("text", F.when(F.col("doc_id") < 6, F.col("odd")).otherwise(F.col("text"))).drop("odd").write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["doc_length"])
+def test_odd_captions_against_sql(spark, odd_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{odd_dir}/{t}.parquet/*.parquet'")
+    got = catalog.QUERIES[name](spark, odd_dir)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 
